@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, warc
 
-QUERIES = {"op10_mix": mixing.op10_mix}
-SQL = {"op10_mix": mixing.SQL}
+QUERIES = {"op4_warc": warc.op4_warc, "op10_mix": mixing.op10_mix}
+SQL = {"op4_warc": warc.SQL, "op10_mix": mixing.SQL}
