@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import mixing, simhash, warc
 
-QUERIES = {"op4_warc": warc.op4_warc, "op10_mix": mixing.op10_mix}
+QUERIES = {"op4_warc": warc.op4_warc, "op9_simhash": simhash.op9_simhash, "op10_mix": mixing.op10_mix}
 SQL = {"op4_warc": warc.SQL, "op10_mix": mixing.SQL}
