@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, mixing, simhash, warc
+from . import embeddings, mixing, simhash, topk, warc
 
-QUERIES = {"op4_warc": warc.op4_warc, "op6_embeddings": embeddings.op6_embeddings, "op9_simhash": simhash.op9_simhash, "op10_mix": mixing.op10_mix}
-SQL = {"op4_warc": warc.SQL, "op6_embeddings": embeddings.SQL, "op10_mix": mixing.SQL}
+QUERIES = {"op4_warc": warc.op4_warc, "op6_embeddings": embeddings.op6_embeddings, "op7_topk": topk.op7_topk, "op9_simhash": simhash.op9_simhash, "op10_mix": mixing.op10_mix}
+SQL = {"op4_warc": warc.SQL, "op6_embeddings": embeddings.SQL, "op7_topk": topk.SQL, "op10_mix": mixing.SQL}
