@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, mixing, simhash, topk, warc
+from . import embeddings, mixing, packing, simhash, substring, topk, warc
 
-QUERIES = {"op4_warc": warc.op4_warc, "op6_embeddings": embeddings.op6_embeddings, "op7_topk": topk.op7_topk, "op9_simhash": simhash.op9_simhash, "op10_mix": mixing.op10_mix}
-SQL = {"op4_warc": warc.SQL, "op6_embeddings": embeddings.SQL, "op7_topk": topk.SQL, "op10_mix": mixing.SQL}
+QUERIES = {"op2_substring": substring.op2_substring, "op4_warc": warc.op4_warc, "op5_pack": packing.op5_pack, "op6_embeddings": embeddings.op6_embeddings, "op7_topk": topk.op7_topk, "op9_simhash": simhash.op9_simhash, "op10_mix": mixing.op10_mix}
+SQL = {"op2_substring": substring.SQL, "op4_warc": warc.SQL, "op6_embeddings": embeddings.SQL, "op7_topk": topk.SQL, "op10_mix": mixing.SQL}
