@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import Scratch
 from .warc import open_fs
@@ -92,12 +94,12 @@ def _slim(cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "start", "n", "low", "s1", "s2"])
 
 
-def _texts(path: str) -> Iterator[tuple[int, int | None, str | None]]:
-    """(row, doc_id, text) of a staged file, in order of row."""
+def _texts(path: str, more: tuple[str, ...] = ()) -> Iterator[tuple]:
+    """(row, doc_id, text, *more) of a staged file, in order of row."""
     fs, name = open_fs(path)
     with fs.open_input_file(name) as f:
-        for b in pq.ParquetFile(f).iter_batches(batch_size=256, columns=["row", "doc_id", "text"]):
-            yield from zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist())
+        for b in pq.ParquetFile(f).iter_batches(batch_size=256, columns=(names := ["row", "doc_id", "text", *more])):
+            yield from zip(*(b.column(n).to_pylist() for n in names))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple]:
@@ -206,15 +208,15 @@ def kept_words(words: list[bytes], starts: list[int], window: int) -> tuple[list
     return [w for w, c in zip(words, covered.tolist()) if not c], int(covered.sum())
 
 
-def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """All rows of each staged file: (row, doc_id, n_words, n_removed, kept_sha256, kept).  Input rows (path, row, start, at) sorted by path and row; row null: the file itself."""
+def _remove(batches: Iterator[pa.RecordBatch], window: int, more: tuple[str, ...], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """All rows of each staged file, as ``schema``.  Input rows (path, row, start, at) are sorted by path and row; row null: the file itself."""
     out, held = [], 0
     for path, group in _runs(batches, "path"):
         group = iter(group)
         nxt = next(group, None)
         while nxt is not None and nxt[1] is None:
             nxt = next(group, None)
-        for row, doc, text in _texts(path):
+        for row, doc, text, *carried in _texts(path, more):
             starts: list[int] = []
             while nxt is not None and nxt[1] == row:
                 starts += [nxt[2] + i for i in nxt[3]]
@@ -222,18 +224,13 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             words = (text or "").encode("utf-8", "surrogatepass").split()
             kept, gone = kept_words(words, starts, window)
             string = b" ".join(kept)
-            out.append((row, doc, len(words), gone, hashlib.sha256(string).hexdigest(), text if not gone else string.decode("utf-8", "surrogatepass")))
+            out.append((doc, len(words), gone, hashlib.sha256(string).hexdigest(), text if not gone else string.decode("utf-8", "surrogatepass"), *carried))
             held += len(text or "")
-            if held > 4 << 20:
-                yield _kept(out)
+            if held > 4 << 20 or len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                 out, held = [], 0
     if out:
-        yield _kept(out)
-
-
-def _kept(out: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["row", "doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50, hot: int = 2000, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -250,7 +247,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50, ho
        once more with its places; texts themselves are never shuffled.
 
     Returns a row per input row: doc_id, n_words, n_removed, kept_sha256, kept (the text; unchanged where nothing was
-    removed, else its kept words joined by one space), and columns named in ``carry`` as ``c_`` + name.  Null texts have no words and a null
+    removed, else its kept words joined by one space), and columns named in ``carry``, of plain types, as ``c_`` + name.  Null texts have no words and a null
     ``kept``; rows of null doc_id neither lose words nor make others lose them; rows of equal doc_id don't affect each
     other; an empty table gives no rows; further columns are ignored.
     """
@@ -285,10 +282,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50, ho
     hits = hits.join(files, "file").select("path", "row", "start", "at")
     hits = hits.union(files.select("path", F.lit(None).cast("long"), F.lit(0), F.array().cast("array<int>")))
     hits = hits.repartition("path").sortWithinPartitions("path", "row", "start")
-    out = hits.mapInArrow(lambda b: _remove(b, window), "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    if carry:
-        out = out.join(staged.select(F.col("row").alias("_row"), *[f"c_{c}" for c in carry]), F.col("row") == F.col("_row")).drop("_row")
-    return out.drop("row")
+    more = tuple(f"c_{c}" for c in carry)
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    schema = StructType([*schema.fields, *staged.select(*more).schema.fields])
+    arrow = to_arrow_schema(schema)
+    return hits.mapInArrow(lambda b: _remove(b, window, more, arrow), schema)
 
 
 SQL = r"""

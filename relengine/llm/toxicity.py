@@ -5,26 +5,32 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import table
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+SIGNS = re.compile(r"[\W_]+")
 EDGES = re.compile(r"^\W+|[\W_]+$")
 MEMO = 200_000  # words whose scores a worker keeps
 
 
 def units(sentence: str) -> list[str]:
-    """Words of a sentence, lower case, without signs at their ends; three or more single letters in a row are one word."""
+    """Words of a sentence, lower case, without signs at their ends; three or more single letters in a row are one word.
+
+    A word with signs in it is followed by its letters alone.
+    """
     out, run = [], []
     for w in sentence.lower().split():
-        w = EDGES.sub("", w) if not w.isalnum() else w
+        if not w.isalnum():
+            w = EDGES.sub("", w)
         if len(w) == 1:
             run.append(w)
             continue
@@ -33,6 +39,8 @@ def units(sentence: str) -> list[str]:
         run = []
         if w:
             out.append(w)
+            if not w.isalnum() and len(bare := SIGNS.sub("", w)) > 2:
+                out.append(bare)
     if len(run) > 2:
         out.append("".join(run))
     return out
@@ -142,7 +150,7 @@ def witnesses(pos: list[set[str]], neg: list[set[str]], least: int = 3) -> Count
     return Counter({w: have[w] for w in tried if far(w)})
 
 
-def fit(texts: list[str], toxic: list[int], landmarks: int = 384, words: int = 10_000, rounds: int = 3) -> Model:
+def fit(texts: list[str], toxic: list[int], landmarks: int = 320, words: int = 8000, rounds: int = 2) -> Model:
     """Learn from labelled texts.
 
     Texts fall into sentences.  A sentence of a toxic text is toxic if it holds a witness, a word that toxic texts have far
@@ -160,34 +168,26 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 384, words: int = 1
     if not found or not clean:
         return Model()
     rng = np.random.default_rng(11)
-    cache: dict[str, tuple[dict[str, float], float]] = {}
-
-    def phi(w: str) -> tuple[dict[str, float], float]:
-        if w not in cache:
-            f = features(w)
-            cache[w] = (f, norm(f))
-        return cache[w]
-
     every = sorted(clean)
     drawn = set(rng.choice(every, min(words, len(every)), replace=False).tolist()) | {w for w, _ in clean.most_common(1000)}
     model, scores = Model(), {}
     for _ in range(rounds):
-        bad = [w for w, _ in found.most_common(1500)]
+        bad = [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:1500]]
         hard = sorted(drawn, key=lambda w: (-scores.get(w, 0.0), w))[: landmarks // 2]
         marks = list(dict.fromkeys([*bad[: landmarks - len(hard)], *hard]))
-        column: dict[str, list[tuple[int, float]]] = {}
-        for j, m in enumerate(marks):
-            f, n = phi(m)
-            for x, v in f.items():
-                column.setdefault(x, []).append((j, v / n))
+        maps = [(f, norm(f)) for f in map(features, marks)]
+        index = {x: i for i, x in enumerate(sorted(set().union(*(f for f, _ in maps))))}
+        dense = np.zeros((len(index), len(marks)))
+        for j, (f, n) in enumerate(maps):
+            dense[[index[x] for x in f], j] = np.array(list(f.values())) / n
 
         def kernel(ws: list[str]) -> np.ndarray:
             k = np.zeros((len(ws), len(marks)))
             for i, w in enumerate(ws):
-                f, n = phi(w)
-                for x, v in f.items():
-                    for j, u in column.get(x, ()):
-                        k[i, j] += u * v / n
+                f = features(w)
+                at = [(index[x], v) for x, v in f.items() if x in index]
+                if at:
+                    k[i] = np.array([v for _, v in at]) @ dense[[x for x, _ in at]] / norm(f)
             return k
 
         values, vectors = np.linalg.eigh(kernel(marks))
@@ -199,13 +199,9 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 384, words: int = 1
         y = np.r_[np.ones(len(plus)), -np.ones(len(minus))]
         often = np.r_[[1 + math.log(found.get(w, 1)) for w in plus], [1 + math.sqrt(clean[w]) / 4 for w in minus]]
         w = svm(x, y, often)
-        alpha, weights = nystrom @ w, {}
-        for m, a in zip(marks, alpha):
-            f, n = phi(m)
-            for g, v in f.items():
-                weights[g] = weights.get(g, 0.0) + a * v / n
-        model = Model(weights)
-        scores = {w: model.word(w) for w in set().union(*pos, *neg)}
+        folded = dense @ (nystrom @ w)
+        model = Model({x: float(folded[i]) for x, i in index.items()})
+        scores = {w: model.word(w) for w in sorted(set().union(*pos, *neg))}
         drawn |= {w for w in sorted(clean, key=lambda w: (-scores[w], w))[:1500]}
         usual = float(np.quantile([scores[w] for w in found], 0.25))
         top = [max(d, key=lambda w: (scores[w], w)) for d in pos if d and not d & found.keys()]
@@ -227,3 +223,74 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
         move = np.linalg.solve(h, z.T @ (t - p) - 1e-2 * a)
         a = a + move * min(1.0, 3 / (np.abs(move).max() + 1e-12))
     return tuple(map(float, a))
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int, fold: int = 1, folds: int = 3) -> list:
+    """At most ``most`` toxic and twice as many other labelled texts, by a hash of doc_id, as rows (doc_id, text, toxic).
+
+    Rows whose crc32 of doc_id as text is ``fold`` modulo ``folds`` are held out.  Of several labels of a doc_id the highest holds, of
+    several texts the least.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(F.crc32(F.col("doc_id").cast("string")) % folds != fold)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    order = (F.xxhash64("doc_id", F.lit(23)), "doc_id")
+    chosen = known.where("toxic = 1").orderBy(*order).limit(most).union(known.where("toxic = 0").orderBy(*order).limit(2 * most))
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most 3 * most rows
+    return sorted(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect(), key=lambda r: r["doc_id"])
+
+
+class Scores(dict):
+    """Scores of words, remembered; forgets all when full, which changes nothing but speed."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= MEMO:
+            self.clear()
+        s = self.model.word(word)
+        if len(word) <= 256:
+            self[word] = s
+        return s
+
+    def text(self, text: str | None) -> float:
+        return self.model.probability([self[u] for s in SENTENCE.split(text or "") for u in units(s)])
+
+
+def with_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str, *, most: int = 1500) -> DataFrame:
+    """``docs`` with a probability of toxicity of each whole text, learned from a sample of at most 3 * ``most`` labelled rows.
+
+    Only texts are inputs of a score.  Null and empty texts score as texts without words; without toxic or without clean labelled texts
+    all scores are low; repeated rows score alike; an empty table gives no rows; further columns are kept.
+    """
+    rows = sample(docs, labels, most)
+    at = len(docs.columns)
+    model = spark.sparkContext.broadcast(fit([r["text"] for r in rows], [r["toxic"] for r in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(model.value)
+        for b in batches:
+            found = [scores.text(t.as_py()) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(found, pa.float64())], [f"c{i}" for i in range(at + 1)])
+
+    # Columns go by place, so that names may be anything.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    schema = StructType([*plain.schema.fields, StructField(f"c{len(docs.columns)}", DoubleType())])
+    text = F.col(f"c{docs.columns.index('text')}").cast("string").alias("_text")
+    return plain.select("*", text).mapInArrow(run, schema).toDF(*docs.columns, column)
+
+
+THRESHOLD = 0.7
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
+    """A row per document: doc_id, held_out, score, predicted (score of THRESHOLD or more).  See :func:`with_scores`."""
+    scored = with_scores(spark, docs.select("doc_id", "text"), labels, "score", **kw)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, scored as labels.toxic marks them."""
+    return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
