@@ -19,63 +19,95 @@ from .common import table
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 SIGNS = re.compile(r"[\W_]+")
 EDGES = re.compile(r"^\W+|[\W_]+$")
-MEMO = 200_000  # words whose scores a worker keeps
-
-
-def units(sentence: str) -> list[str]:
-    """Words of a sentence, lower case, without signs at their ends; three or more single letters in a row are one word.
-
-    A word with signs in it is followed by its letters alone.
-    """
-    out, run = [], []
-    for w in sentence.lower().split():
-        if not w.isalnum():
-            w = EDGES.sub("", w)
-        if len(w) == 1:
-            run.append(w)
-            continue
-        if len(run) > 2:
-            out.append("".join(run))
-        run = []
-        if w:
-            out.append(w)
-            if not w.isalnum() and len(bare := SIGNS.sub("", w)) > 2:
-                out.append(bare)
-    if len(run) > 2:
-        out.append("".join(run))
+MEMO = 300_000  # words whose scores a worker keeps
+CHUNK = 1 << 20  # characters of text whose words are scored together
+LONGEST = 60  # letters of a word that are looked at together; longer words fall into parts that overlap
+
+
+def forms(word: str) -> list[str]:
+    """A word in lower case without signs at its ends, and, where it has signs inside, its letters alone; none for signs only."""
+    w = word.lower()
+    if w.isalnum():
+        return [w]
+    w = EDGES.sub("", w)
+    if not w:
+        return []
+    bare = SIGNS.sub("", w) if not w.isalnum() else ""
+    return [w, bare] if len(bare) > 2 else [w]
+
+
+def units(text: str) -> list[str]:
+    """The forms of a text's words; three or more single letters in a row, within a sentence, are one word."""
+    out: list[str] = []
+    for sentence in SENTENCE.split(text):
+        run: list[str] = []
+        for w in [*sentence.split(), ""]:
+            f = forms(w)
+            if f and len(f[0]) == 1:
+                run += f
+                continue
+            if len(run) > 2:
+                out.append("".join(run))
+            run = []
+            out += f
     return out
 
 
-def features(word: str, decay: float = 0.5, span: int = 6) -> dict[str, float]:
-    """The word's gapped subsequences of three and four characters, each weighed by ``decay`` to the power of its gaps.
-
-    This is the feature map of the gap-weighted subsequence kernel (Lodhi et al. 2002), with spans of at most ``span`` (one
-    less for three characters); the word's bounds count as characters.
+#: Places of the characters of a gapped subsequence after its first: of three in a span of five, of four in a span of six.
+PLACES = [(a, b) for b in range(2, 5) for a in range(1, b)] + [(a, b, c) for c in range(3, 6) for b in range(2, c) for a in range(1, b)]
+DECAY = 0.5
+WEIGHTS = [DECAY ** (p[-1] - len(p)) for p in PLACES]
+#: Odd multipliers of a feature hash; features fall into 2 ** HASH_BITS places.
+MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+HASH_BITS = 20
+
+
+def lengths(n: np.ndarray) -> np.ndarray:
+    """The weights of all subsequences of words of ``n`` characters, bounds included, as one length."""
+    return np.sqrt(sum(w * w * np.maximum(0, n - p[-1]) for p, w in zip(PLACES, WEIGHTS)))
+
+
+def hashed(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Words of like length together: (rows, characters with bounds, for each of PLACES the hashed subsequences at each first place)."""
+    by: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by.setdefault(8 << max(0, (len(w) + 1).bit_length() - 3), []).append(i)
+    for width, rows in sorted(by.items()):
+        for at in range(0, len(rows), 4096):
+            part = rows[at : at + 4096]
+            text = "".join([f"^{words[i]}$".ljust(width, "\0") for i in part])
+            c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), width)
+            found = []
+            for p in PLACES:
+                m = width - p[-1]
+                h = c[:, :m] * MULTIPLIERS[0]
+                for k, off in enumerate(p, 1):
+                    h = (h ^ (h >> np.uint32(15))) + c[:, off : off + m] * MULTIPLIERS[k]
+                h = (h ^ (h >> np.uint32(13))) * np.uint32(0x2C1B3C6D)
+                found.append(h >> np.uint32(32 - HASH_BITS))
+            yield np.array(part), np.array([len(words[i]) + 2 for i in part]), found
+
+
+def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The words' gapped subsequences of three and four characters: (rows, hashed features, weights).
+
+    This is the feature map of the gap-weighted subsequence kernel (Lodhi et al. 2002), with bounded spans, divided by
+    :func:`lengths`; a word's bounds count as characters.  A weight of 0 marks places beyond a word's end.
     """
-    s, out = f"^{word}$", {}
-    n = len(s)
-    for i in range(n - 2):
-        end = min(n, i + span)
-        for j in range(i + 1, end - 1):
-            ab = s[i] + s[j]
-            for k in range(j + 1, end):
-                x = ab + s[k]
-                if k - i < span - 1:
-                    out[x] = out.get(x, 0.0) + decay ** (k - i - 2)
-                for m in range(k + 1, end):
-                    y = x + s[m]
-                    out[y] = out.get(y, 0.0) + decay ** (m - i - 3)
-    return out
+    for rows, n, ids in hashed(words):
+        weights = [np.where(np.arange(h.shape[1]) < (n - p[-1])[:, None], w, 0.0) for p, w, h in zip(PLACES, WEIGHTS, ids)]
+        yield rows, np.concatenate(ids, axis=1), np.concatenate(weights, axis=1) / np.maximum(lengths(n), 1e-9)[:, None]
 
 
-def norm(f: dict[str, float]) -> float:
-    return math.sqrt(sum(v * v for v in f.values())) or 1.0
+def parts(word: str) -> list[str]:
+    """A word that is too long to look at as a whole, in parts that overlap."""
+    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST - 10)]
 
 
 BIAS = -1.0  # fixed: a word like no landmark is clean
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 40) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 40.0, rounds: int = 40) -> np.ndarray:
     """Primal linear SVM with squared hinge loss and fixed bias by Newton steps, halved where one overshoots."""
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
 
@@ -98,29 +130,37 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, ro
 
 @dataclass
 class Model:
-    """Weights of subsequences: landmarks and the Nyström map are folded into one sum, as the kernel has an explicit map.
+    """Weights of hashed subsequences: landmarks and the Nyström map are folded into one sum, as the kernel has an explicit map.
 
-    ``curve`` makes a probability of what :meth:`evidence` finds in a text.
+    ``curve`` makes a probability of what :func:`evidence` finds in a text.
     """
 
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << HASH_BITS, np.float32))
     bias: float = BIAS
     curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, -4.0)
 
-    def word(self, w: str) -> float:
-        f = features(w)
-        get = self.weights.get
-        return sum(v * get(x, 0.0) for x, v in f.items()) / norm(f) + self.bias
-
-    def probability(self, scores: list[float]) -> float:
+    def words(self, ws: list[str]) -> np.ndarray:
+        """Scores of words: over 0 is an insult."""
+        pieces = [(i, p) for i, w in enumerate(ws) for p in parts(w)]
+        out, of = np.full(len(ws), -np.inf), np.array([i for i, _ in pieces], np.int64)
+        for rows, n, ids in hashed([p for _, p in pieces]):
+            total = np.zeros(len(rows))
+            for p, w, h in zip(PLACES, WEIGHTS, ids):
+                found = self.weights[h]
+                found[np.arange(h.shape[1]) >= (n - p[-1])[:, None]] = 0
+                total += w * found.sum(axis=1)
+            np.maximum.at(out, of[rows], total / np.maximum(lengths(n), 1e-9) + self.bias)
+        return out
+
+    def probability(self, scores: np.ndarray) -> float:
         """Of a text whose words score ``scores``."""
         return float(1 / (1 + np.exp(-np.clip(evidence(scores) @ np.array(self.curve), -30, 30))))
 
 
-def evidence(scores: list[float]) -> np.ndarray:
+def evidence(scores: np.ndarray) -> np.ndarray:
     """The highest and the second highest score, how many words are over the margin, how many there are; 1."""
-    x = np.array(scores) if scores else np.full(1, -1.0)
-    top = np.sort(np.clip(x, -2.0, 2.0))[-2:]
+    x = scores if len(scores) else np.full(1, -1.0)
+    top = np.clip(np.sort(np.partition(x, -2)[-2:] if len(x) > 1 else x), -2.0, 2.0)
     return np.array([top[-1], top[0] if len(x) > 1 else -1.0, math.log1p(float((x > 0).sum())), math.log1p(len(x)), 1.0])
 
 
@@ -150,7 +190,7 @@ def witnesses(pos: list[set[str]], neg: list[set[str]], least: int = 3) -> Count
     return Counter({w: have[w] for w in tried if far(w)})
 
 
-def fit(texts: list[str], toxic: list[int], landmarks: int = 320, words: int = 8000, rounds: int = 2) -> Model:
+def fit(texts: list[str], toxic: list[int], landmarks: int = 400, words: int = 8000, rounds: int = 2) -> Model:
     """Learn from labelled texts.
 
     Texts fall into sentences.  A sentence of a toxic text is toxic if it holds a witness, a word that toxic texts have far
@@ -159,7 +199,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 320, words: int = 8
     that score highest added in each round; landmarks are witnesses and such words.  A text's probability comes from its
     highest two scores, the number of words over the margin, and its length.
     """
-    bags = [[u for s in SENTENCE.split(t) for u in units(s)] for t in texts]
+    bags = [[p for u in units(t) for p in parts(u)] for t in texts]
     pos, neg = ([set(b) for b, y in zip(bags, toxic) if bool(y) == side] for side in (True, False))
     if not pos or not neg:
         return Model()
@@ -175,19 +215,21 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 320, words: int = 8
         bad = [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:1500]]
         hard = sorted(drawn, key=lambda w: (-scores.get(w, 0.0), w))[: landmarks // 2]
         marks = list(dict.fromkeys([*bad[: landmarks - len(hard)], *hard]))
-        maps = [(f, norm(f)) for f in map(features, marks)]
-        index = {x: i for i, x in enumerate(sorted(set().union(*(f for f, _ in maps))))}
-        dense = np.zeros((len(index), len(marks)))
-        for j, (f, n) in enumerate(maps):
-            dense[[index[x] for x in f], j] = np.array(list(f.values())) / n
+        used = np.unique(np.concatenate([ids[v > 0] for _, ids, v in features(marks)]))
+        column = np.full(1 << HASH_BITS, len(used), np.int32)
+        column[used] = np.arange(len(used))
+        dense = np.zeros((len(used) + 1, len(marks)), np.float32)
+        for at, ids, v in features(marks):
+            for i, r in enumerate(at):
+                np.add.at(dense[:, r], column[ids[i][v[i] > 0]], v[i][v[i] > 0])
 
         def kernel(ws: list[str]) -> np.ndarray:
             k = np.zeros((len(ws), len(marks)))
-            for i, w in enumerate(ws):
-                f = features(w)
-                at = [(index[x], v) for x, v in f.items() if x in index]
-                if at:
-                    k[i] = np.array([v for _, v in at]) @ dense[[x for x, _ in at]] / norm(f)
+            for at, ids, v in features(ws):
+                c = column[ids]
+                for i, r in enumerate(at):
+                    some = (c[i] < len(used)) & (v[i] > 0)
+                    k[r] = v[i][some] @ dense[c[i][some]]
             return k
 
         values, vectors = np.linalg.eigh(kernel(marks))
@@ -199,16 +241,16 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 320, words: int = 8
         y = np.r_[np.ones(len(plus)), -np.ones(len(minus))]
         often = np.r_[[1 + math.log(found.get(w, 1)) for w in plus], [1 + math.sqrt(clean[w]) / 4 for w in minus]]
         w = svm(x, y, often)
-        folded = dense @ (nystrom @ w)
-        model = Model({x: float(folded[i]) for x, i in index.items()})
-        scores = {w: model.word(w) for w in sorted(set().union(*pos, *neg))}
+        table = np.zeros(1 << HASH_BITS, np.float32)
+        table[used] = (dense @ (nystrom @ w))[:-1]
+        model = Model(table)
+        every_word = sorted(set().union(*pos, *neg))
+        scores = dict(zip(every_word, model.words(every_word).tolist()))
         drawn |= {w for w in sorted(clean, key=lambda w: (-scores[w], w))[:1500]}
         usual = float(np.quantile([scores[w] for w in found], 0.25))
         top = [max(d, key=lambda w: (scores[w], w)) for d in pos if d and not d & found.keys()]
         found.update({w for w in top if scores[w] >= usual and w not in clean})
-    for w in found:
-        scores.setdefault(w, model.word(w))
-    model.curve = calibrate(np.array([evidence([scores[w] for w in b]) for b in bags]), np.array(toxic, float))
+    model.curve = calibrate(np.array([evidence(np.array([scores[w] for w in b])) for b in bags]), np.array(toxic, float))
     return model
 
 
@@ -239,23 +281,61 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, fold: int = 1, folds:
     return sorted(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect(), key=lambda r: r["doc_id"])
 
 
-class Scores(dict):
-    """Scores of words, remembered; forgets all when full, which changes nothing but speed."""
+class Scores:
+    """Scores of texts; those of words are remembered, and all forgotten when there are many, which changes nothing but speed."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= MEMO:
-            self.clear()
-        s = self.model.word(word)
-        if len(word) <= 256:
-            self[word] = s
-        return s
+        self.model, self.known, self.scored = model, {}, {}
+
+    def learn(self, words: set[str]) -> None:
+        """A word's score is its forms' highest; NaN stands for a single letter, -inf for signs only."""
+        if len(self.known) > MEMO:
+            self.known.clear()
+            self.scored.clear()
+        new = [(w, forms(w)) for w in words - self.known.keys()]
+        unknown = list({f for _, fs in new for f in fs} - self.scored.keys())
+        self.scored.update(zip(unknown, self.model.words(unknown).tolist()))
+        for w, fs in new:
+            self.known[w] = math.nan if len(fs) == 1 and len(fs[0]) == 1 else max((self.scored[f] for f in fs), default=-math.inf)
+
+    def texts(self, texts: list[str | None]) -> list[float]:
+        """A probability for each text.  Words are looked up about CHUNK characters at a time."""
+        out: list[float] = []
+        at = 0
+        while at < len(texts):
+            end, held = at, 0
+            while end < len(texts) and (held == 0 or held < CHUNK):
+                held, end = held + len(texts[end] or ""), end + 1
+            split = [(t or "").split() for t in texts[at:end]]
+            need = set().union(*split)
+            self.learn(need)
+            for t, words in zip(texts[at:end], split):
+                x = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+                letters = np.isnan(x)
+                if letters.any():
+                    runs = self.spelled(t) if (letters[2:] & letters[1:-1] & letters[:-2]).any() else np.empty(0)
+                    x = np.concatenate((x[~letters], runs))
+                out.append(self.model.probability(x[x > -np.inf]))
+            at = end
+        return out
+
+    def spelled(self, text: str) -> np.ndarray:
+        """Scores of words spelled letter by letter."""
+        found: list[str] = []
+        for sentence in SENTENCE.split(text):
+            run: list[str] = []
+            for w in [*sentence.split(), "  "]:
+                f = forms(w) if len(w) < 12 else [w]
+                if f and len(f[0]) == 1:
+                    run += f
+                    continue
+                if len(run) > 2:
+                    found.append("".join(run))
+                run = []
+        return self.model.words(found) if found else np.empty(0)
 
     def text(self, text: str | None) -> float:
-        return self.model.probability([self[u] for s in SENTENCE.split(text or "") for u in units(s)])
+        return self.texts([text])[0]
 
 
 def with_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str, *, most: int = 1500) -> DataFrame:
@@ -271,7 +351,7 @@ def with_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model.value)
         for b in batches:
-            found = [scores.text(t.as_py()) for t in b.column(at)]
+            found = scores.texts(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(found, pa.float64())], [f"c{i}" for i in range(at + 1)])
 
     # Columns go by place, so that names may be anything.
