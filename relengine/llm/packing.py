@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -13,7 +16,60 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, prefix_before
 
-MEMO = 200_000  # words whose ids a worker keeps
+MEMO = 300_000  # words whose ids a worker keeps
+
+
+PLAIN = re.compile("[!-~\u00c0-\u024f]+")  # characters whose classes and lower case don't differ among libraries
+END = b"\xff"  # marks a word's end; no UTF-8 text has this byte
+
+
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 as it is, the rest from U+0100 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in kept)}
+
+
+class PlainWords:
+    """Ids of plain words by the merges of a lower-casing byte-level BPE file with word ends, without the library's cost per call.
+
+    Ids of such files are in order of their merges, so the merge of least rank gives the least id; where a file is
+    made otherwise, :meth:`of_file` gives None and the library does all.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import regex
+        import tiktoken
+
+        self.core = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.parts = regex.compile(pattern).findall
+        self.known: dict[str, bytes] = {}  # of parts, which repeat oftener than words with signs at their ends
+
+    @classmethod
+    def of_file(cls, path: str) -> PlainWords | None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
+        steps = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if model["type"] != "BPE" or not suffix or steps != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"] or cuts[1]["add_prefix_space"]:
+            return None
+        letters, special = byte_letters(), {t["content"] for t in spec["added_tokens"]}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        ids = [model["vocab"][a + b] for a, b in merges]
+        if ids != sorted(set(ids)) or len(model["vocab"].keys() - special) != 512 + len(ids):
+            return None
+        coded = {(bytes(letters[c] for c in t.removesuffix(suffix)) + END * t.endswith(suffix)): i for t, i in model["vocab"].items() if t not in special}
+        return cls(coded, cuts[0]["pattern"]["Regex"])
+
+    def ids(self, word: str) -> bytes:
+        word = word.lower() if word.isascii() else "".join(map(str.lower, word))
+        return b"".join([self.known.get(p) or self.learn(p) for p in ([word] if word.isascii() and word.isalpha() else self.parts(word))])
+
+    def learn(self, part: str) -> bytes:
+        if len(self.known) >= MEMO:
+            self.known.clear()
+        ids = self.known[part] = array("I", self.core.encode_single_piece(part.encode() + END)).tobytes()
+        return ids
 
 
 class WordIds(dict):
@@ -26,13 +82,17 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), PlainWords.of_file(path)
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-        found = self[word] = np.array(ids, "<u4").tobytes()
+        text = word.decode("utf-8", "surrogatepass")
+        if self.plain is not None and PLAIN.fullmatch(text) and "<|" not in text:
+            found = self.plain.ids(text)
+        else:
+            found = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = found
         return found
 
     def of(self, text: str) -> bytes:
