@@ -18,7 +18,7 @@ from .operators.visitor import contains
 from .plans import Change, changes, evaluate, rewrite
 from .plans.compile import Plan
 from .schema import from_row, same, tuple_schema
-from .sources import Store, checked, rows
+from .sources import Store, Tuples, checked, rows
 
 MOST_EPOCHS = 8  # batches of an instance before those that every view has seen become one
 
@@ -107,11 +107,11 @@ class Database:
         self._refresh_all(e)
         return evaluate(rewrite(e) if not contains(e, Full) else e, self._plan).distinct()
 
-    def tuples(self, expression: Expression) -> list:
+    def tuples(self, expression: Expression) -> Tuples:
         """The sorted set as Python values: fields in order, None first."""
         e = to_expression(expression)
         df = self.evaluate(e)
-        return [from_row(r, e.schema) for r in df.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in df.columns]).collect()]
+        return Tuples(from_row(r, e.schema) for r in df.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in df.columns]).collect())
 
     def store_view(self, expression: Expression) -> View:
         """Keep an expression's set up to date.  Nothing is registered unless all it reads is there and it can be maintained."""

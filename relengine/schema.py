@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from enum import Enum
 from typing import Any
 
-from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, MapType, StructField, StructType
 
 VALUE = "value"
 
@@ -53,8 +54,36 @@ def is_scalar(s: StructType) -> bool:
     return s.names == [VALUE]
 
 
+def either(left: str | DataType, right: str | DataType) -> StructType:
+    """The type of a value of one of two types; left ones sort first."""
+    types = [t if isinstance(t, DataType) else StructType.fromDDL(f"x {t}")["x"].dataType for t in (left, right)]
+    return StructType([StructField("tag", IntegerType(), False), StructField("left", types[0]), StructField("right", types[1])])
+
+
+def left(value: Any) -> tuple:
+    """A value of the left type of :func:`either`."""
+    return (0, value, None)
+
+
+def right(value: Any) -> tuple:
+    """A value of the right type of :func:`either`."""
+    return (1, None, value)
+
+
+def encoded(value: Any) -> Any:
+    """A value with members of Python enumerations as their place in it, so that they sort as declared."""
+    if isinstance(value, Enum):
+        return list(type(value)).index(value)
+    if isinstance(value, list):
+        return [encoded(v) for v in value]
+    if isinstance(value, tuple):
+        return tuple(encoded(v) for v in value)
+    return value
+
+
 def as_row(value: Any, schema: StructType) -> tuple:
     """A Python value as a row of ``schema``."""
+    value = {k: encoded(v) for k, v in value.items()} if isinstance(value, dict) else encoded(value)
     if is_scalar(schema):
         return (value,)
     if isinstance(value, dict):

@@ -2,5 +2,6 @@
 
 from .tables import checked, read_parquet, rows
 from .storage import Store
+from .tuples import Tuples
 
-__all__ = ["Store", "checked", "read_parquet", "rows"]
+__all__ = ["Store", "Tuples", "checked", "read_parquet", "rows"]
