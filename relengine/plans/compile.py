@@ -54,18 +54,22 @@ def join(e: Join, left: DataFrame, right: DataFrame) -> DataFrame:
     lk, rk = e.key_schemas
 
     def side(name: str, df: DataFrame) -> DataFrame:
-        return e.keyed(name, df).select(name, F.col("k").alias(f"{name}k"))
+        """The side's struct and its key as columns of their own, on which Spark can partition and push filters."""
+        return e.keyed(name, df).select(name, *[F.col(f"k.`{f.name}`").alias(f"{name}k{i}") for i, f in enumerate(lk.fields)])
+
+    def key(name: str) -> Column:
+        return F.struct(*[F.col(f"{name}k{i}").alias(f.name) for i, f in enumerate(lk.fields)]).alias("k")
 
     l, r = side("l", left), side("r", right)  # noqa: E741
     on = []
-    for a, b in zip(lk.fields, rk.fields):
-        x, y = F.col(f"lk.`{a.name}`"), F.col(f"rk.`{b.name}`")
+    for i, (a, b) in enumerate(zip(lk.fields, rk.fields)):
+        x, y = F.col(f"lk{i}"), F.col(f"rk{i}")
         on.append(x.eqNullSafe(y) if a.nullable and b.nullable else x == y)
     condition = reduce(lambda a, b: a & b, on)
     for main, other, name, unread in ((l, r, "l", "r"), (r, l, "r", "l")):
         if not mentions(out, unread):
-            return main.join(other, condition, "left_semi").select(name, F.col(f"{name}k").alias("k")).select(out)
-    return l.join(r, condition).select("l", "r", F.col("lk").alias("k")).select(out)
+            return main.join(other, condition, "left_semi").select(name, key(name)).select(out)
+    return l.join(r, condition).select("l", "r", key("l")).select(out)
 
 
 def evaluate(e: Expression, leaf: Callable[[Expression], Plan]) -> Plan:
