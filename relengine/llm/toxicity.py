@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -170,27 +169,23 @@ def disguised(word: str) -> list[str]:
     return ["-".join(word), ".".join(word), word[:half] + "*" + word[half:], word[:half] + word[half] * 2 + word[half + 1 :]] if len(word) > 3 else []
 
 
-def witnesses(pos: list[set[str]], neg: list[set[str]], least: int = 3) -> Counter:
-    """Words that toxic texts have far oftener than others, with how many toxic texts hold them.
+def witnesses(have: np.ndarray, clean: np.ndarray, n_pos: int, n_neg: int, least: int = 3) -> np.ndarray:
+    """Words that toxic texts have far oftener than others: the places where this holds.
 
-    By chance, a word that n texts hold is in k or more toxic ones with a binomial probability; witnesses are words so
-    improbable that half of one is expected among all.
+    ``have`` and ``clean`` count the toxic and the other texts that hold each word.  By chance, a word that n texts hold is in k or
+    more toxic ones with a binomial probability; witnesses are words so improbable that half of one is expected among all.
     """
-    have, clean = Counter(w for d in pos for w in d), Counter(w for d in neg for w in d)
-    share = len(pos) / (len(pos) + len(neg))
-    tried = [w for w, n in have.items() if n >= least and n > share * (n + clean[w])]
+    share = n_pos / (n_pos + n_neg)
+    tried = np.flatnonzero((have >= least) & (have * n_neg > 8 * (clean + 0.5) * n_pos))
 
     def tail(k: int, n: int) -> float:
         return math.fsum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k, min(n, k + 60) + 1))
 
-    def far(w: str) -> bool:
-        k, n = have[w], have[w] + clean[w]
-        return k * len(neg) > 8 * (clean[w] + 0.5) * len(pos) and (n > 500 or tail(k, n) * len(tried) < 0.5)
+    far = [have[w] + clean[w] > 500 or tail(int(have[w]), int(have[w] + clean[w])) * max(1, len(tried)) < 0.5 for w in tried]
+    return tried[np.array(far, bool)]
 
-    return Counter({w: have[w] for w in tried if far(w)})
 
-
-def fit(texts: list[str], toxic: list[int], landmarks: int = 400, words: int = 8000, rounds: int = 2) -> Model:
+def fit(texts: list[str], toxic: list[int], landmarks: int = 320, words: int = 8000, rounds: int = 2) -> Model:
     """Learn from labelled texts.
 
     Texts fall into sentences.  A sentence of a toxic text is toxic if it holds a witness, a word that toxic texts have far
@@ -199,22 +194,29 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 400, words: int = 8
     that score highest added in each round; landmarks are witnesses and such words.  A text's probability comes from its
     highest two scores, the number of words over the margin, and its length.
     """
-    bags = [[p for u in units(t) for p in parts(u)] for t in texts]
-    pos, neg = ([set(b) for b, y in zip(bags, toxic) if bool(y) == side] for side in (True, False))
-    if not pos or not neg:
+    numbers: dict[str, int] = {}
+    bags = [np.array([numbers.setdefault(p, len(numbers)) for u in units(t) for p in parts(u)], np.int32) for t in texts]
+    known, is_toxic = list(numbers), np.array(toxic, bool)
+    del numbers
+    held = [np.unique(b) for b in bags]
+    n_pos, n_neg = int(is_toxic.sum()), int((~is_toxic).sum())
+    if not n_pos or not n_neg or not known:
         return Model()
-    found = witnesses(pos, neg)
-    clean = Counter(w for d in neg for w in d - found.keys())
-    if not found or not clean:
+    have, other = (np.bincount(np.concatenate([h for h, y in zip(held, is_toxic) if y == side]), minlength=len(known)) for side in (True, False))
+    witness = np.zeros(len(known), bool)
+    witness[witnesses(have, other, n_pos, n_neg)] = True
+    found: dict[str, int] = {known[i]: int(have[i]) for i in np.flatnonzero(witness)}
+    clean_ids = np.flatnonzero((other > 0) & ~witness)
+    if not found or not len(clean_ids):
         return Model()
     rng = np.random.default_rng(11)
-    every = sorted(clean)
-    drawn = set(rng.choice(every, min(words, len(every)), replace=False).tolist()) | {w for w, _ in clean.most_common(1000)}
-    model, scores = Model(), {}
+    often = clean_ids[np.argsort(-other[clean_ids], kind="stable")]
+    drawn = set(often[:1000].tolist()) | set(rng.choice(clean_ids, min(words, len(clean_ids)), replace=False).tolist())
+    model, scores = Model(), np.zeros(len(known))
     for _ in range(rounds):
         bad = [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:1500]]
-        hard = sorted(drawn, key=lambda w: (-scores.get(w, 0.0), w))[: landmarks // 2]
-        marks = list(dict.fromkeys([*bad[: landmarks - len(hard)], *hard]))
+        hard = sorted(drawn, key=lambda i: (-scores[i], known[i]))[: landmarks // 2]
+        marks = list(dict.fromkeys([*bad[: landmarks - len(hard)], *(known[i] for i in hard)]))
         used = np.unique(np.concatenate([ids[v > 0] for _, ids, v in features(marks)]))
         column = np.full(1 << HASH_BITS, len(used), np.int32)
         column[used] = np.arange(len(used))
@@ -236,21 +238,24 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 400, words: int = 8
         keep = values > 1e-6
         nystrom = vectors[:, keep] / np.sqrt(values[keep])
         plus = [*bad, *(d for w in bad[:200] for d in disguised(w))]
-        minus = sorted(drawn - set(plus))
+        minus_ids = [i for i in sorted(drawn) if known[i] not in found]
+        minus = [known[i] for i in minus_ids]
         x = np.vstack([kernel(plus), kernel(minus)]) @ nystrom
         y = np.r_[np.ones(len(plus)), -np.ones(len(minus))]
-        often = np.r_[[1 + math.log(found.get(w, 1)) for w in plus], [1 + math.sqrt(clean[w]) / 4 for w in minus]]
+        often = np.r_[[1 + math.log(found.get(w, 1)) for w in plus], [1 + math.sqrt(other[i]) / 4 for i in minus_ids]]
         w = svm(x, y, often)
         table = np.zeros(1 << HASH_BITS, np.float32)
         table[used] = (dense @ (nystrom @ w))[:-1]
         model = Model(table)
-        every_word = sorted(set().union(*pos, *neg))
-        scores = dict(zip(every_word, model.words(every_word).tolist()))
-        drawn |= {w for w in sorted(clean, key=lambda w: (-scores[w], w))[:1500]}
-        usual = float(np.quantile([scores[w] for w in found], 0.25))
-        top = [max(d, key=lambda w: (scores[w], w)) for d in pos if d and not d & found.keys()]
-        found.update({w for w in top if scores[w] >= usual and w not in clean})
-    model.curve = calibrate(np.array([evidence(np.array([scores[w] for w in b])) for b in bags]), np.array(toxic, float))
+        del dense, x
+        scores = model.words(known)
+        drawn |= set(clean_ids[np.argsort(-scores[clean_ids], kind="stable")[:1500]].tolist())
+        usual = float(np.quantile(scores[witness], 0.25))
+        for h in (h for h, y in zip(held, is_toxic) if y and len(h) and not witness[h].any()):
+            top = h[np.argmax(scores[h])]
+            if scores[top] >= usual and not other[top]:
+                found[known[top]] = 1
+    model.curve = calibrate(np.array([evidence(scores[b]) for b in bags]), is_toxic.astype(float))
     return model
 
 
@@ -338,7 +343,7 @@ class Scores:
         return self.texts([text])[0]
 
 
-def with_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str, *, most: int = 1500) -> DataFrame:
+def with_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str, *, most: int = 1200) -> DataFrame:
     """``docs`` with a probability of toxicity of each whole text, learned from a sample of at most 3 * ``most`` labelled rows.
 
     Only texts are inputs of a score.  Null and empty texts score as texts without words; without toxic or without clean labelled texts
