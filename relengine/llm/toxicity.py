@@ -185,7 +185,7 @@ def witnesses(have: np.ndarray, clean: np.ndarray, n_pos: int, n_neg: int, least
     return tried[np.array(far, bool)]
 
 
-def fit(texts: list[str], toxic: list[int], landmarks: int = 320, words: int = 8000, rounds: int = 2) -> Model:
+def fit(texts: list[str], toxic: list[int], landmarks: int = 400, words: int = 10_000, rounds: int = 2) -> Model:
     """Learn from labelled texts.
 
     Texts fall into sentences.  A sentence of a toxic text is toxic if it holds a witness, a word that toxic texts have far
