@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, prefix_before
 
 MEMO = 300_000  # words whose ids a worker keeps
+LONG = 256  # longer ones aren't kept
 
 
 PLAIN = re.compile("[!-~\u00c0-\u024f]+")  # characters whose classes and lower case don't differ among libraries
@@ -68,7 +69,9 @@ class PlainWords:
     def learn(self, part: str) -> bytes:
         if len(self.known) >= MEMO:
             self.known.clear()
-        ids = self.known[part] = array("I", self.core.encode_single_piece(part.encode() + END)).tobytes()
+        ids = array("I", self.core.encode_single_piece(part.encode() + END)).tobytes()
+        if len(part) <= LONG:
+            self.known[part] = ids
         return ids
 
 
@@ -92,7 +95,8 @@ class WordIds(dict):
             found = self.plain.ids(text)
         else:
             found = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        self[word] = found
+        if len(word) <= LONG:
+            self[word] = found
         return found
 
     def of(self, text: str) -> bytes:

@@ -29,7 +29,9 @@ class WordHashes(dict):
 
         if len(self) >= MEMO:
             self.clear()
-        h = self[word] = xxh3_64_intdigest(word, 7)
+        h = xxh3_64_intdigest(word, 7)
+        if len(word) <= 256:
+            self[word] = h
         return h
 
 

@@ -105,12 +105,12 @@ def top_k(spark: SparkSession, vectors: DataFrame, *, k: int = 5, every: int = 5
 
 def _top_k_of(spark: SparkSession, v: DataFrame, n: int, scratch: Scratch, name: str, k: int, every: int, bucket_rows: int, query_rows: int, sample: int) -> DataFrame:
     """(query_id, copy, vec_id, score) with the ``k`` best of each bucket part that a query entered; all rows are of one width."""
-    buckets = max(1, min(4096, math.ceil(n / bucket_rows)))
+    buckets = max(1, min(1024, math.ceil(n / bucket_rows)))
     at = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(v.agg(F.percentile_approx("n2", F.array(*map(F.lit, at)), 10_000).alias("p")).first()["p"])) if at else []
     bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > F.col("n2"))) if bounds else F.lit(0)  # 0: the longest
     rows = v.select("vec_id", "v", "n2", bucket.alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("n2").alias("x2")).orderBy("bucket").collect()  # at most 4,096 rows
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("n2").alias("x2")).orderBy("bucket").collect()  # at most 1,024 rows
     cut = {c["bucket"]: math.ceil(c["n"] / (2 * bucket_rows)) for c in counts}
     parts = F.create_map(*[F.lit(x) for kv in cut.items() for x in kv])
     rows = scratch.table(rows.select("vec_id", "v", "bucket", F.pmod(F.xxhash64("vec_id"), parts[F.col("bucket")]).cast("int").alias("part")), f"{name}_rows")
@@ -144,12 +144,13 @@ def _top_k_of(spark: SparkSession, v: DataFrame, n: int, scratch: Scratch, name:
         return both.groupBy("bucket", "part", "q_block").applyInPandas(run, "query_id long, copy long, vec_id long, score long")
 
     def enter(queries: DataFrame, buckets: list) -> DataFrame:
-        """Queries (with floor) dealt to the parts whose lengths may reach their floors; there are at most 4,096 buckets."""
-        places = F.array(*[F.struct(F.lit(c["bucket"]).alias("bucket"), F.lit(i).alias("part"), F.lit(math.sqrt(c["x2"])).alias("length")) for c in buckets for i in range(cut[c["bucket"]])])
+        """Queries (with floor) dealt to the parts of the buckets whose lengths may reach their floors; there are at most 1,024 buckets."""
+        places = F.array(*[F.struct(F.lit(c["bucket"]).alias("bucket"), F.lit(cut[c["bucket"]]).alias("parts"), F.lit(math.sqrt(c["x2"])).alias("length")) for c in buckets])
         length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
         dealt = queries.withColumn("length", length).withColumn("c", F.explode(places))
         dealt = dealt.where(F.col("length") * F.col("c.length") * (1 + 1e-9) + 1e-6 >= F.col("floor"))
-        return dealt.select("c.bucket", "c.part", "q_block", "floor", "copy", "vec_id", "v")
+        dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("c.parts") - 1)))
+        return dealt.select("c.bucket", "part", "q_block", "floor", "copy", "vec_id", "v")
 
     first = scratch.table(search(enter(queries.withColumn("floor", F.lit(-EXACT)), counts[:1])), f"{name}_first")
     if len(counts) == 1:

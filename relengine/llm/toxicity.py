@@ -321,6 +321,10 @@ class Scores:
                     runs = self.spelled(t) if (letters[2:] & letters[1:-1] & letters[:-2]).any() else np.empty(0)
                     x = np.concatenate((x[~letters], runs))
                 out.append(self.model.probability(x[x > -np.inf]))
+            for w in [w for w in need if len(w) > 256]:  # few, but they may be very long
+                del self.known[w]
+                for f in forms(w):
+                    self.scored.pop(f, None)
             at = end
         return out
 
