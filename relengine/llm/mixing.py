@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,9 +38,18 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[int, ...] = (1,
     A null text has size 0 and takes nothing; an empty table gives no rows; repeated rows each count, rows of equal
     doc_id follow by size; further columns of ``docs`` are ignored.
     """
+    return _ordered(spark, docs, weights, repeats, seed, buckets).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last")).cast("long").alias("taken"))
+
+
+def _key(seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def _ordered(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...], repeats: int, seed: int, buckets: int) -> DataFrame:
+    """A slim row per document: its source (s_null, s_val), its place (key, doc_id, size, tie), its source's figures, the
+    source's whole epochs, and ``last``, the words that the prefix of one more takes."""
     scratch = Scratch(spark, "mix")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"))
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key"), F.xxhash64("text").alias("tie"))
     slim = slim.select("*", F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s_val"), F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * buckets / 65536).cast("int").alias("bucket"))
     slim = scratch.table(slim, "slim")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -49,25 +58,32 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[int, ...] = (1,
     rows = rows.join(plan, ["s_null", "s_val"])
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("source_size")
-    last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"))
+    rows = rows.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
+    return rows.withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before"))))
 
 
-def mixed_documents(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each epoch a document is in; the document at a source's cut keeps only its first words.
+def mixed_documents(spark: SparkSession, docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 17, buckets: int = 1024) -> DataFrame:
+    """``docs`` as :func:`mix` takes them: a row for each epoch a document is in; the document at a source's cut keeps only its first words.
 
-    Columns are those of ``docs``; doc_id must be unique (of repeated rows, each meets each one's share).
+    A source's cut is one place in its order, so a table with a row per source tells every document's share, and texts are
+    not shuffled (unless there are so many sources that the planner won't broadcast them).  Documents without words aren't
+    taken; of repeated rows at a cut, each is cut there.  Columns are those of ``docs``.
     """
     scratch = Scratch(spark, "mixed")
-    shares = scratch.table(mix(spark, docs, **kw).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")), "shares")
-    j = docs.join(shares, F.col("doc_id").eqNullSafe(F.col("_id")))
-    whole, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
-    copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    j = j.withColumn("_cut", F.explode(copies))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("_cut"), F.lit(1))), " ")
-    text = F.when(F.col("_cut") > 0, head).otherwise(F.col("text"))
-    cols = [text.alias("text") if c == "text" else F.when(F.col("_cut") > 0, F.char_length(head)).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    rows = _ordered(spark, docs, weights, repeats, seed, buckets)
+    place = F.struct("key", F.col("doc_id").alias("id"), "size", "tie")
+    at_cut = (F.col("size") > 0) & (F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("size"))
+    cuts = rows.groupBy("s_null", "s_val").agg(F.max("epochs").alias("_epochs"), F.max(F.when(at_cut, F.struct(place.alias("at"), F.col("last").alias("words")))).alias("_cut"))
+    cuts = scratch.table(cuts.withColumnsRenamed({"s_null": "_null", "s_val": "_val"}), "cuts")
+    own = F.struct(_key(seed).alias("key"), F.col("doc_id").alias("id"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    j = docs.withColumns({"_own": own, "_s_null": F.col("source").isNull(), "_s_val": F.coalesce("source", F.lit(""))}).where("_own.size > 0")
+    j = j.join(cuts, (F.col("_s_null") == F.col("_null")) & (F.col("_s_val") == F.col("_val")))
+    whole = (F.col("_epochs") + F.coalesce((F.col("_own") < F.col("_cut.at")) | ((F.col("_own") == F.col("_cut.at")) & (F.col("_cut.words") == F.col("_own.size"))), F.lit(False)).cast("long")).cast("int")
+    part = F.when((F.col("_own") == F.col("_cut.at")) & (F.col("_cut.words") < F.col("_own.size")), F.col("_cut.words").cast("int"))
+    j = j.withColumn("_words", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(part.isNotNull(), F.array(part)).otherwise(F.array().cast("array<int>")))))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("_words"), F.lit(1))), " ")
+    text = F.when(F.col("_words") > 0, head).otherwise(F.col("text"))
+    cols = [text.alias("text") if c == "text" else F.when(F.col("_words") > 0, F.char_length(head)).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return j.select(*cols)
 
 
