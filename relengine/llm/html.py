@@ -134,7 +134,9 @@ def clean(raw: str) -> str:
 
 
 def page_blocks(html: str) -> list[tuple[Element, str, int]]:
-    """(block element, text, characters outside links) of each block that isn't boilerplate by its own marks."""
+    """(block element, text, score) of each block that isn't boilerplate by its own marks.
+
+    The score is the number of characters outside links; none if most are in links, all of an h1."""
     found = []
     for pieces in blocks(html):
         text = clean("".join(t for _, t in pieces))
@@ -145,7 +147,9 @@ def page_blocks(html: str) -> list[tuple[Element, str, int]]:
         e = pieces[0][0]
         while e.up is not None and e.name not in BLOCK:
             e = e.up
-        found.append((e, text, len(text) * (whole - linked) // whole))
+        if e.name == "h1":
+            linked = 0  # titles often link to their page
+        found.append((e, text, 0 if 2 * linked > whole else max(1, len(text) * (whole - linked) // whole)))
     return found
 
 
@@ -159,28 +163,20 @@ def inside(e: Element | None, name: str) -> bool:
     return False
 
 
-#: A container wins a page if it holds this share of the page's scored characters and no smaller one in it does.
-SHARE = 0.7
-
-
 def best_path(found: list[tuple[Element, str, int]]) -> tuple[str, int] | None:
-    """The generalised path of the page's best container and its score; of two, the deepest that has SHARE of all."""
+    """The generalised path of the deepest container that holds all that scores on the page, and its score."""
     total = 0
     for e, _, n in found:
         total += n
-        while e is not None:
+        while n and e is not None:
             e.chars += n
             e = e.up
-    best, seen = None, set()
-    for e, _, _ in found:
-        while e is not None and e.up is not None:
-            if id(e) in seen:
-                break
-            seen.add(id(e))
-            if e.name in CONTAINERS and e.chars >= SHARE * total and (best is None or e.path.count(">") > best.path.count(">")):
-                best = e
-            e = e.up
-    return (best.path, best.chars) if best is not None and total else None
+    e = next((e for e, _, n in found if n), None)
+    while e is not None and e.up is not None:
+        if e.chars == total and e.name in CONTAINERS:
+            return e.path, total
+        e = e.up
+    return None
 
 
 CONTAINERS = frozenset("article main section div td body blockquote center dd html".split())
@@ -195,10 +191,12 @@ def within(e: Element | None, paths: frozenset[str]) -> bool:
 
 
 def article(found: list[tuple[Element, str, int]], winners: list[str]) -> str:
-    """Text of the containers at the first winning path that the page has; else at its own best path; else of all blocks."""
-    for path in winners:
-        if chosen := [t for e, t, _ in found if within(e, frozenset([path]))]:
-            return " ".join(chosen)
+    """Text of the containers at the first winning path that holds all that scores on the page; else at its own best path; else of all blocks."""
+    total = sum(n for _, _, n in found)
+    for path in winners if total else ():
+        chosen = [(t, n) for e, t, n in found if within(e, frozenset([path]))]
+        if sum(n for _, n in chosen) == total:
+            return " ".join(t for t, _ in chosen)
     own = best_path(found)
     return " ".join(t for e, t, _ in found if own is None or within(e, frozenset([own[0]])))
 
@@ -207,10 +205,11 @@ def extract(spark: SparkSession, pages: DataFrame, *, paths_per_host: int = 8, m
     """Main text of ``pages`` (page_id, url, html).
 
     Each page's containers are scored by the characters they hold outside links and outside parts that tag, class, id or role
-    mark as menus, headers, footers, sidebars, notices, adverts, forms or comments; the best one's path of tags and classes, with numbers
-    made one, is the page's vote.  Votes are counted per host; a path that at least two pages and a twentieth of the host's
-    voted for may win, the ``paths_per_host`` most voted are kept, and each page is extracted again by the first of them that it has.
-    Pages without one are extracted by their own best container.  Winners are broadcast only if there are at most ``most_hosts`` hosts,
+    mark as menus, headers, footers, sidebars, notices, adverts, forms or comments; blocks of mostly links don't score.  The path of
+    tags and classes, with numbers made one, of the smallest container that holds all that scores is the page's vote.  Votes are counted
+    per host; a path that at least two pages and a twentieth of the host's voted for may win, the ``paths_per_host`` most voted are kept,
+    and each page is extracted again by the first of them that holds all that scores on it.  Pages without one are extracted by their
+    own smallest container.  So only marked parts and blocks of links are ever left out; boilerplate without marks or links stays.  Winners are broadcast only if there are at most ``most_hosts`` hosts,
     else joined.
 
     Returns a row per page: page_id, url, text, n_chars (code points).  A null or empty html has an empty text; pages of

@@ -18,6 +18,24 @@ def test_small_pages():
     assert text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_title_and_lead_outside_the_body_are_kept():
+    body = "".join(f"<p>{'word ' * 40}{i}" for i in range(9))
+    page = f"<body><div><a href='/'>All our news</a></div><article><h1>{{}}</h1><p>the lead</p><div class=body>{body}</div></article><div><a href='/2'>next one</a></div></body>"
+    got = text(page.format("Title"))
+    assert got.startswith("Title the lead word") and got.endswith("word 8")
+    assert text(page.format("<a href='/1'>Title</a>")) == got
+    assert text(f"<body><p>before</p><blockquote>{body}</blockquote><p>after</p></body>").split()[:: 9 * 41 + 1] == ["before", "after"]
+    assert article(page_blocks(page.format("Title")), ["body>article>div.body"]) == got
+
+
+def test_two_templates_on_one_host(spark):
+    long = "word " * 80
+    rows = [(i, f"http://h/{i}", f"<body><div class=post><p>{long}{i}</p></div></body>") for i in range(9)]
+    rows += [(10 + i, f"http://h/{10 + i}", f"<body><div class=post><p>teaser {i}</p></div><div class=story><p>{long}{i}</p></div></body>") for i in range(2)]
+    got = {r.page_id: r.text for r in extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{long}{i}" for i in range(9)} | {10 + i: f"teaser {i} {long}{i}" for i in range(2)}
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><ul><li><a href='/'>Home</a></ul></nav>"
     "<div class='post-{i} content'><h1>Head {i}</h1>{body}</div><div class='sidebar'><p>{noise}</p></div><aside>More</aside>"
