@@ -31,21 +31,31 @@ CLOSES = {
 }
 CLOSE_P = BLOCK - {"br", "body", "html", "head", "option", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "legend"}
 #: Elements whose text is never the article's, and words of class, id and role that mark such parts.
-NEVER = frozenset("script style noscript template iframe nav aside footer form button select textarea input option label svg canvas object menu dialog title head fieldset".split())
+NEVER = frozenset("script style noscript template iframe nav aside footer button select textarea input option label svg canvas object menu dialog title head fieldset".split())
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|masthead|cookie\w*|consent|gdpr|notices?|alert|popup|modal|overlay|"
     r"newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|comment\w*|replies|reply|disqus|discussion|widget|toolbar|pagination|pager|search\w*|copyright|skip)(?:$|[\s_-])", re.I
 )
+#: Of these, words that hardly ever name a page's layout; class words like has-sidebar and no-sidebar tell of the layout only and mark nothing.
+PARTS = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|breadcrumbs?|footer|cookie\w*|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|"
+    r"comment\w*|replies|reply|disqus|discussion|pagination|pager|copyright|skip)(?:$|[\s_-])", re.I
+)
+LAYOUT = re.compile(r"(?:^|\s)(?:has|no|not|with|without|hide)[_-]\S*", re.I)
+#: Elements that may stand in a head; any other start tag, and text, ends an open one.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
 class Element:
-    __slots__ = ("article", "chars", "depth", "name", "off", "path", "up")
+    __slots__ = ("article", "chars", "depth", "lifted", "mark", "name", "off", "part", "path", "up")
 
-    def __init__(self, name: str, path: str, up: Element | None, off: bool):
+    def __init__(self, name: str, path: str, up: Element | None, off: bool, marked: bool = False, part: bool = False):
         self.name, self.path, self.up, self.off, self.chars = name, path, up, off, 0
         self.depth = up.depth + 1 if up is not None else 0
-        self.article = name in ("article", "main") or up is not None and up.article
+        self.article = self if name in ("article", "main") else up.article if up is not None else None
+        self.mark = self if marked else up.mark if up is not None else None  # the nearest marked element
+        self.part, self.lifted = part, False
 
 
 def step(name: str, attributes: dict[str, str]) -> str:
@@ -64,9 +74,10 @@ def parsed(html: str) -> Iterator[tuple[Element | None, str, bool]]:
         m = TOKEN.search(html, pos)
         if m is None:
             if pos < n:
-                yield at, html[pos:], False
+                yield outside_head(stack, at, html[pos:]), html[pos:], False
             return
         if m.start() > pos:
+            at = outside_head(stack, at, html[pos : m.start()])
             yield at, html[pos : m.start()], False
         pos = m.end()
         name = (m[2] or "").lower()
@@ -81,6 +92,8 @@ def parsed(html: str) -> Iterator[tuple[Element | None, str, bool]]:
             if name in BLOCK:
                 yield at, "", True
             continue
+        if name not in IN_HEAD:
+            at = outside_head(stack, at)
         if name in BLOCK:
             yield at, "", True
         if name in VOID:
@@ -98,11 +111,14 @@ def parsed(html: str) -> Iterator[tuple[Element | None, str, bool]]:
         up = stack[-1]
         attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if TELLING.search(m[3]) else {}
         off = up.off or name in NEVER or (name == "header" and not up.article)
+        marked, part = name == "form", False
         if attributes and not off:
-            marked = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+            words = LAYOUT.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
             off = "hidden" in attributes or attributes.get("aria-hidden") == "true"
-            off = off or name not in ("body", "html", "main", "article") and (bool(MARKS.search(marked)) or attributes.get("role", "").lower() in ROLES)
-        at = Element(name, f"{up.path}>{step(name, attributes)}" if name in BLOCK and up.depth < DEPTH else up.path, up, off)
+            if name not in ("body", "html", "main", "article"):
+                marked = marked or bool(MARKS.search(words)) or attributes.get("role", "").lower() in ROLES
+            part = bool(PARTS.search(words))
+        at = Element(name, f"{up.path}>{step(name, attributes)}" if name in BLOCK and up.depth < DEPTH else up.path, up, off, marked, part)
         if m[3].endswith("/") and name not in BLOCK:
             at = up
             continue
@@ -114,18 +130,74 @@ def parsed(html: str) -> Iterator[tuple[Element | None, str, bool]]:
             at = up
 
 
+def outside_head(stack: list[Element], at: Element, text: str = "x") -> Element:
+    """The open element, after text or a tag that a head can't hold has ended an open head."""
+    if stack[-1].name == "head" and not text.isspace():
+        stack.pop()
+        return stack[-1]
+    return at
+
+
+def active(e: Element) -> tuple[Element | None, bool]:
+    """The outermost mark that switches ``e`` off, and whether it is the only one."""
+    top, n, m = None, 0, e.mark
+    while m is not None:
+        if not m.lifted:
+            top, n = m, n + 1
+        m = m.up.mark
+    return top, n == 1
+
+
+def lift_marks(pieces: list[tuple[Element, str]]) -> None:
+    """Lift the marks of elements that hold what the page is about, as of a wrapper whose class tells of a sidebar.
+
+    An element's mark is lifted if it holds the page's main element; if it holds an article and no text of an article is
+    unmarked; if it holds two thirds of the page's text outside links, or the most while none is unmarked.  Marks of PARTS, which may
+    hold comments or teasers, need an article or h1 within, more text than is unmarked, and no unmarked article.
+    """
+    texts = [(e, len(t.strip())) for e, t in pieces if not inside(e, "a") and not t.isspace()]
+    links = [(e, len(t.strip())) for e, t in pieces if inside(e, "a")]
+    whole = sum(n for _, n in texts)
+    while True:
+        linked = sum(n for e, n in links if active(e)[0] is None)
+        free, free_article, held = 0, False, {}
+        for e, n in texts:
+            top, only = active(e) if e.mark is not None else (None, True)
+            home = e.article if e.article is not None and (e.article.name == "main" or not e.article.part) else None
+            if top is None:
+                free, free_article = free + n, free_article or home is not None
+                continue
+            sums = held.setdefault(top, [0, False, False, False])
+            sums[0] += n
+            if home is not None and home.depth > top.depth:
+                sums[1] = sums[1] or home.name == "main"
+                sums[2] = sums[2] or only
+            sums[3] = sums[3] or only and inside(e, "h1")
+        lifted = False
+        for m, (n, main, home, title) in held.items():
+            if m.part:
+                m.lifted = main or (home or title) and n > free and not free_article
+            else:
+                m.lifted = main or home and not free_article or n > linked and (3 * n >= 2 * whole or not free and n == max(x[0] for x in held.values()))
+            lifted = lifted or m.lifted
+        if not lifted:
+            return
+
+
 def blocks(html: str) -> Iterator[list[tuple[Element, str]]]:
     """The pieces of raw text of each block that isn't boilerplate, with the elements they stand in."""
-    held: list[tuple[Element, str]] = []
+    found: list[list[tuple[Element, str]]] = [[]]
     for at, text, ends in parsed(html):
         if ends:
-            if held:
-                yield held
-                held = []
+            if found[-1]:
+                found.append([])
         elif not at.off:
-            held.append((at, text))
-    if held:
-        yield held
+            found[-1].append((at, text))
+    if any(e.mark is not None for held in found for e, _ in held):
+        lift_marks([x for held in found for x in held])
+    for held in found:
+        if kept := [(e, t) for e, t in held if e.mark is None or active(e)[0] is None]:
+            yield kept
 
 
 def clean(raw: str) -> str:

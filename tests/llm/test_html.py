@@ -36,6 +36,23 @@ def test_two_templates_on_one_host(spark):
     assert got == {i: f"{long}{i}" for i in range(9)} | {10 + i: f"teaser {i} {long}{i}" for i in range(2)}
 
 
+def test_open_heads_and_marked_wrappers():
+    for end in ("</head>", ""):
+        assert text(f"<html><head><meta charset=utf-8><title>T</title><style>p{{}}</style>{end}<body><article><p>x</article>") == "x"
+        assert text(f"<html><head><title>T</title>\n{end}<p>x<p>y") == "x y"
+    assert text("<head><title>T</title>bare <b>text</b>") == "bare text"
+    post, side = f"<h1>T</h1><p>{'word ' * 60}", "<div class=sidebar><p>about us</div><div id=comments><p>so true</div>"
+    for outer in ("content has-sidebar", "no-sidebar", "layout sidebar-left", "page banner", "social-layout", "side x", "promo"):
+        for inner in ("article", "main", "div"):
+            got = text(f"<body><p>tagline<div class='{outer}'><{inner}>{post}</{inner}>{side}</div><footer>f</footer>")
+            assert got == " ".join(["tagline T", *["word"] * 60])
+    assert text(f"<body><form action=/all><div class=sidebar-x><div class='search page'>{post}</div></div>{side}</form>").startswith("T word")
+    comments = "<div id=comments>" + "<article class=comment><p>I say so</article>" * 90 + "</div>"
+    assert text(f"<body><div class=post>{post}</div>{comments}").split() == ["T", *["word"] * 60]
+    assert text(f"<body><article>{post}</article>{comments}<div class=related><article>teaser</article></div>").split() == ["T", *["word"] * 60]
+    assert text("<body><div class=cookie-consent><p>We use cookies</div>") == ""
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><ul><li><a href='/'>Home</a></ul></nav>"
     "<div class='post-{i} content'><h1>Head {i}</h1>{body}</div><div class='sidebar'><p>{noise}</p></div><aside>More</aside>"
