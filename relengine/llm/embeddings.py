@@ -35,38 +35,52 @@ def fit_cells(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarr
     return np.unique(c, axis=0)
 
 
-def link_cell(ids: np.ndarray, x: np.ndarray, raw: np.ndarray, owner: np.ndarray, least: float, block: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links of a cell's owners to all its members: (owner's row, links) and a few edges (row, row) that connect the same.
+def link_blocks(ids: np.ndarray, x: np.ndarray, raw: np.ndarray, owner: np.ndarray, copies: np.ndarray, second: np.ndarray, least: float, block: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a block's owners to the rows of the ``second`` block and the other way round, or to all if there is none.
 
-    Cosines go block by block; those within 1e-9 of ``least`` are computed anew from the plain formula.
+    Returns (owner's row, links, each row counted with its copies) and a few edges (row, row) that connect the same.
+    Cosines go piece by piece; those within 1e-9 of ``least`` are computed anew from the plain formula.
     """
-    own = np.flatnonzero(owner)
-    links, src, dst = np.zeros(len(own), np.int64), [], []
-    up = np.arange(len(ids))
-    for i in range(0, len(own), block):
-        rows = own[i : i + block]
-        for j in range(0, len(ids), block):
-            cos = x[rows] @ x[j : j + block].T
-            a, b = np.nonzero(cos >= least - 1e-9)
-            for e in np.flatnonzero(cos[a, b] < least + 1e-9):
-                u, v = raw[rows[a[e]]], raw[j + b[e]]
-                cos[a[e], b[e]] = math.fsum(u * v) / math.sqrt(math.fsum(u * u)) / math.sqrt(math.fsum(v * v))
-            ok = (cos[a, b] >= least) & (rows[a] != j + b)
-            a, b = a[ok], b[ok]
-            np.add.at(links, i + a, 1)
-            p, q = rows[a], j + b
-            while len(p):  # a spanning forest is enough to tell components
-                while not np.array_equal(nxt := up[up], up):
-                    up = nxt
-                rp, rq = up[p], up[q]
-                hi, lo = np.maximum(rp, rq), np.minimum(rp, rq)
-                new = hi != lo
-                p, q = p[new], q[new]
-                np.minimum.at(up, hi[new], lo[new])
+    links, up = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    halves = [(owner & ~second, second), (owner & second, ~second)] if second.any() else [(owner, ~second)]
+    for own, others in halves:
+        own, others = np.flatnonzero(own), np.flatnonzero(others)
+        for i in range(0, len(own), block):
+            rows = own[i : i + block]
+            for j in range(0, len(others), block):
+                met = others[j : j + block]
+                cos = x[rows] @ x[met].T
+                a, b = np.nonzero(cos >= least - 1e-9)
+                for e in np.flatnonzero(cos[a, b] < least + 1e-9):
+                    u, v = raw[rows[a[e]]], raw[met[b[e]]]
+                    cos[a[e], b[e]] = math.fsum(u * v) / math.sqrt(math.fsum(u * u)) / math.sqrt(math.fsum(v * v))
+                p, q = rows[a], met[b]
+                ok = (cos[a, b] >= least) & (p != q)
+                p, q = p[ok], q[ok]
+                np.add.at(links, p, copies[q])
+                while len(p):  # a spanning forest is enough to tell components
+                    while not np.array_equal(nxt := up[up], up):
+                        up = nxt
+                    rp, rq = up[p], up[q]
+                    hi, lo = np.maximum(rp, rq), np.minimum(rp, rq)
+                    new = hi != lo
+                    p, q = p[new], q[new]
+                    np.minimum.at(up, hi[new], lo[new])
     while not np.array_equal(nxt := up[up], up):
         up = nxt
-    linked = np.flatnonzero(up != np.arange(len(ids)))
-    return own, links, ids[linked], ids[up[linked]]
+    counted, linked = np.flatnonzero(links), np.flatnonzero(up != np.arange(len(ids)))
+    return ids[counted], links[counted], ids[linked], ids[up[linked]]
+
+
+def paired_blocks(dealt: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows of cells dealt to pairs (one, other) of blocks; each two blocks of a cell, and each with itself, are a pair once.
+
+    ``blocks`` has the number of blocks of the cells that have more than one.  ``second`` tells the rows of a pair's other block.
+    """
+    rows = dealt.join(blocks, ["label", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    second = (F.col("mine") > F.col("met")).alias("second")
+    return rows.select("label", "cell", F.least("mine", "met").alias("one"), F.greatest("mine", "met").alias("other"), "row", "copies", "v", "owner", second)
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, *, least: float = 0.98, cell_rows: int = 2000, sample: int = 20_000, most_cells: int = 256, most_centres: int = 8192) -> DataFrame:
@@ -76,8 +90,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, least: float = 0
     per ``cell_rows`` rows, at most ``most_cells`` a label and ``most_centres`` in all (so what is broadcast has a
     bound; labels beyond it have one cell, which blocks split).  A row belongs to its nearest cell and visits each other
     one whose boundary is nearer than the greatest distance of two linked rows, so every row's own cell holds all
-    rows that it may link with: no link is missed, and n_links is counted once.  The owners of a cell of over
-    ``cell_rows`` are cut into blocks, each compared with all members.
+    rows that it may link with: no link is missed, and n_links is counted once.  Equal vectors of a label are one row with a
+    number of copies throughout.  A cell of over ``cell_rows`` is cut into blocks of about that size, and a task compares
+    two of them, so that none holds more.
 
     Returns a row per input row: vec_id, n_links, component_id, kept.  Vectors that are null, zero, or hold null or
     non-finite components, and rows of null label or null vec_id, link with nothing (component_id = vec_id).  Repeated rows count as
@@ -89,8 +104,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, least: float = 0
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     v = v.withColumn("row", F.monotonically_increasing_id()).withColumn("label", F.when(F.coalesce(sound, F.lit(False)), F.concat_ws(":", F.size("v"), "label")))
     v = scratch.table(v, "rows")
-    alive = v.where("label is not null")
-    counts = alive.groupBy("label").count()
+    kinds = v.where("label is not null").groupBy("label", "v").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    kinds = scratch.table(kinds.select("row", "copies", "v", "label"), "kinds")
+    counts = kinds.groupBy("label").count()
     large = counts.where(F.col("count") > cell_rows)  # smaller labels are one cell each
     largest = [(r["label"], min(most_cells, -(-r["count"] // cell_rows))) for r in large.orderBy(F.desc("count"), "label").limit(most_centres // 2).collect()]
     wanted, left = {}, most_centres
@@ -102,9 +118,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, least: float = 0
         share = max(1, sample // len(wanted))
         total = dict((r["label"], r["count"]) for r in large.where(F.col("label").isin(list(wanted))).collect())
         fraction = {k: min(1.0, share / n) for k, n in total.items()}
-        drawn = alive.where(F.col("label").isin(list(wanted)))
+        drawn = kinds.where(F.col("label").isin(list(wanted)))
         rate = F.create_map(*[F.lit(x) for kv in fraction.items() for x in kv])[F.col("label")]
-        drawn = drawn.where(F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(1 << 20)) < rate * (1 << 20)).select("label", "v").limit(2 * sample).toPandas()
+        drawn = drawn.where(F.pmod(F.xxhash64("row", F.lit(9)), F.lit(1 << 20)) < rate * (1 << 20)).select("label", "v").limit(2 * sample).toPandas()
         for label, g in drawn.groupby("label"):
             centres[label] = fit_cells(unit_rows(g["v"])[0], wanted[label])
     reach = math.sqrt(2 - 2 * least) + 1e-9
@@ -126,25 +142,25 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, least: float = 0
                     a, b = np.nonzero(visits)
                     yield h.iloc[a].assign(cell=b, owner=near[a] == b)
 
-    dealt = scratch.table(alive.mapInPandas(deal, "vec_id long, v array<double>, label string, row long, cell int, owner boolean"), "dealt")
-    blocks = dealt.where("owner").groupBy("label", "cell").count().select("label", "cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("blocks"))
+    dealt = scratch.table(kinds.mapInPandas(deal, "row long, copies long, v array<double>, label string, cell int, owner boolean"), "dealt")
+    blocks = dealt.groupBy("label", "cell").count().select("label", "cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("blocks"))
     blocks = scratch.table(blocks.where("blocks > 1"), "blocks")
-    rows = dealt.join(blocks, ["label", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("owner", F.col("owner") & (F.col("mine") == F.col("block"))).select("vec_id", "v", "row", "owner", "label", "cell", "block")
 
     def link(g: pd.DataFrame) -> pd.DataFrame:
         x, raw = unit_rows(g["v"])
-        ids = g["row"].to_numpy()
-        own, links, src, dst = link_cell(ids, x, raw, g["owner"].to_numpy(), least)
-        counted = pd.DataFrame({"row": ids[own], "other": -1, "n_links": links})
+        ids, links, src, dst = link_blocks(g["row"].to_numpy(), x, raw, g["owner"].to_numpy(bool), g["copies"].to_numpy(), g["second"].to_numpy(bool), least)
+        counted = pd.DataFrame({"row": ids, "other": -1, "n_links": links})
         return pd.concat([counted, pd.DataFrame({"row": src, "other": dst, "n_links": 0})], ignore_index=True)
 
-    found = scratch.table(rows.groupBy("label", "cell", "block").applyInPandas(link, "row long, other long, n_links long"), "found")
+    pairs = paired_blocks(dealt, blocks).groupBy("label", "cell", "one", "other")
+    found = scratch.table(pairs.applyInPandas(link, "row long, other long, n_links long"), "found")
     cc = scratch.table(components(found.where("other >= 0").select(F.col("row").alias("src"), F.col("other").alias("dst")), scratch), "cc")
-    own = found.where("other < 0").select("row", "n_links")
-    named = v.select("vec_id", "row").join(own, "row", "left").join(cc, F.col("row") == F.col("node"), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "row").alias("component"))
+    own = found.where("other < 0").groupBy("row").agg(F.sum("n_links").alias("n_links"))
+    per = kinds.select("row", "copies").join(own, "row", "left").join(cc, F.col("row") == F.col("node"), "left")
+    per = per.select(F.col("row").alias("kind"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
+    several = kinds.where("copies > 1").select("label", "v", F.col("row").alias("kind"))
+    placed = v.join(several, ["label", "v"], "left").select("vec_id", F.coalesce("kind", "row").alias("kind"))
+    named = placed.join(scratch.table(per, "per"), "kind", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "kind").alias("component"))
     named = scratch.table(named, "named")
     first = scratch.table(named.groupBy("component").agg(F.min("vec_id").alias("component_id")), "first")
     return named.join(first, "component").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

@@ -57,6 +57,28 @@ def test_links_equal_brute_force(spark, cell_rows):
     assert near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def test_copies_are_dealt_once_and_tasks_are_bounded(spark, monkeypatch):
+    from relengine.llm import embeddings
+
+    tables = {}
+
+    class Recorded(embeddings.Scratch):
+        def table(self, df, name):
+            tables[name] = super().table(df, name)
+            return tables[name]
+
+    monkeypatch.setattr(embeddings, "Scratch", Recorded)
+    near = np.float64(np.float32(1 + 1e-3 * np.random.default_rng(8).normal(size=(300, 6))))
+    rows = [(i, [1.0, 2.0, -0.0 if i % 2 else 0.0], 1) for i in range(600)] + [(1000 + i, e, 2) for i, e in enumerate(near.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark, df, cell_rows=50, sample=400, most_cells=1).collect()}
+    assert got == {i: (599, 0) for i in range(600)} | {1000 + i: (299, 1000) for i in range(300)}
+    assert tables["dealt"].where("label = '3:1'").count() == 1
+    pairs = embeddings.paired_blocks(tables["dealt"], tables["blocks"]).groupBy("label", "cell", "one", "other").count()
+    sizes = [r["count"] for r in pairs.collect()]
+    assert len(sizes) == 22 and max(sizes) < 200  # six blocks of about 50 rows, two in a task
+
+
 def slow_top(rows, k, every, scale=256):
     good = [(i, [math.floor(float(x) * scale) for x in e]) for i, e, _ in rows if i is not None and sound(e) and e]
     out = []
