@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from .common import Scratch
 
+LONG = (1 << 63) - 1
 EXACT = float(1 << 52)  # inner products up to here are whole numbers in a double, whatever the order of summing
 
 
@@ -80,8 +81,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, *, k: int = 5, every: int = 5
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id; fewer rows if there are fewer others.
     Vectors that are null, empty, or hold null or non-finite components, and rows of null vec_id, take no part; rows of another
     number of components than a query are no candidates of it.  A query's own row is that of its vec_id; repeated rows of
-    another vec_id each count, and a repeated query is asked once for each distinct vector.  Integers whose inner products may
-    exceed 2**52 raise an error.  An empty table gives no rows; further columns are ignored.
+    another vec_id each count, and a repeated query is asked once for each distinct vector.  Rows whose squared length is
+    2**52 or more are scored apart, in whole numbers; only a result that a long can't hold raises an error.  An empty table gives no rows; further columns are ignored.
     """
     scratch = Scratch(spark, "topk")
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
@@ -89,20 +90,89 @@ def top_k(spark: SparkSession, vectors: DataFrame, *, k: int = 5, every: int = 5
     v = vectors.where(sound).select(F.col("vec_id").cast("long"), whole.alias("v"))
     v = v.select("vec_id", "v", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("n2"))
     v = scratch.table(v, "rows")
-    dims = v.groupBy("dim").agg(F.count("*").alias("n"), F.max("n2").alias("longest")).orderBy("dim").limit(1000).collect()
-    if any(r["longest"] >= EXACT for r in dims):
-        raise ValueError("inner products may exceed 2**52")
-    found = None
-    for r in dims:  # rows of different numbers of components never meet; usually there is one
-        part = _top_k_of(spark, v.where(F.col("dim") == r["dim"]), r["n"], scratch, f"d{r['dim']}", k, every, bucket_rows, query_rows, sample)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    any_long = v.where(~(F.col("n2") < EXACT)).limit(1).count() > 0
+    short = v.where(F.col("n2") < EXACT) if any_long else v
+    dims = short.groupBy("dim").agg(F.count("*").alias("n"))
+    large = dims.where(F.col("n") > bucket_rows).orderBy("dim").collect()  # each has over bucket_rows rows, so these are few
+    found = _top_k_of_small(short.join(dims.where(F.col("n") <= bucket_rows), "dim"), k, every)
+    for r in large:  # rows of different numbers of components never meet; usually there is one
+        found = found.union(_top_k_of(spark, short.where(F.col("dim") == r["dim"]), r["n"], scratch, f"d{r['dim']}", k, every, bucket_rows, query_rows, sample))
+    if any_long:
+        over = v.where(~(F.col("n2") < EXACT))
+        found = found.union(_top_k_in_integers(over, v, scratch, "over_all", k, every, bucket_rows, query_rows))
+        found = found.union(_top_k_in_integers(short, over, scratch, "short_over", k, every, bucket_rows, query_rows))
     by = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    if any_long:
+        score = F.when(F.col("score").isin(-LONG - 1, LONG), F.raise_error(F.lit("an inner product exceeds a long"))).otherwise(F.col("score"))
+        ranked = ranked.withColumn("score", score.cast("long"))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _asked(v: DataFrame, every: int) -> DataFrame:
+    """(dim, vec_id, v, copy) of the distinct queries among ``v``."""
+    return v.where(F.col("vec_id") % every == 0).select("dim", "vec_id", "v").distinct().withColumn("copy", F.xxhash64("v"))
+
+
+def _top_k_of_small(v: DataFrame, k: int, every: int) -> DataFrame:
+    """(query_id, copy, vec_id, score) of numbers of components that few rows have, a group each, however many there are."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        is_query = g["copy"].notna()
+        x, q = g[~is_query], g[is_query]
+        out = []
+        if len(q):
+            xv, qv = np.array(list(x["v"]), np.float64), np.array(list(q["v"]), np.float64)
+            q_ids, copies = q["vec_id"].to_numpy(np.int64), q["copy"].to_numpy()
+            turn = rotation(xv[:10_000]) if len(xv) > xv.shape[1] else np.eye(xv.shape[1])
+            for j, ids, scores in search_block(qv, q_ids, np.full(len(q), -EXACT), xv, x["vec_id"].to_numpy(np.int64), turn, k):
+                out += [(q_ids[j], int(copies[j]), i, int(s)) for i, s in zip(ids.tolist(), scores)]
+        return pd.DataFrame(out, columns=["query_id", "copy", "vec_id", "score"]).astype("int64")
+
+    none = F.lit(None).cast("string").alias("copy")  # a string, as pandas makes longs with nulls inexact
+    both = v.select("dim", "vec_id", "v", none).union(_asked(v, every).select("dim", "vec_id", "v", F.col("copy").cast("string")))
+    return both.groupBy("dim").applyInPandas(run, "query_id long, copy long, vec_id long, score long")
+
+
+def exact_best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(id, score) of the ``k`` rows of highest inner product with ``q`` in whole numbers; doubles only rule out rows that can't be among them."""
+    with np.errstate(all="ignore"):
+        near = x @ q
+        slack = len(q) * 2.0**-50 * np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum())
+        sure = np.isfinite(near) & np.isfinite(slack)
+        low, high = np.where(sure, near - slack, -np.inf), np.where(sure, near + slack, np.inf)
+    rows = np.flatnonzero(high >= (np.partition(low, -k)[-k] if len(low) > k else -np.inf))
+    whole = [int(c) for c in q]
+    scores = [(-sum(a * int(b) for a, b in zip(whole, x[r])), int(ids[r])) for r in rows]
+    return [(i, -s) for s, i in sorted(scores)[:k]]
+
+
+def _top_k_in_integers(asking: DataFrame, base: DataFrame, scratch: Scratch, name: str, k: int, every: int, bucket_rows: int, query_rows: int) -> DataFrame:
+    """(query_id, copy, vec_id, score) of the queries of ``asking`` among parts of ``base``; scores beyond a long become its ends."""
+
+    def dealt(df: DataFrame, rows: int, out: str) -> DataFrame:
+        parts = scratch.table(df.groupBy("dim").agg(F.ceil(F.count("*") / rows).alias("parts")), f"{name}_{out}s")
+        return df.join(parts, "dim").withColumn(out, F.pmod(F.xxhash64("vec_id", F.lit(3)), "parts").cast("int")).drop("parts")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        is_query = g["copy"].notna()
+        x, q = g[~is_query], g[is_query]
+        out = []
+        if len(x) and len(q):
+            xv, ids = np.array(list(x["v"]), np.float64), x["vec_id"].to_numpy(np.int64)
+            for q_id, copy, qv in zip(q["vec_id"].tolist(), q["copy"], q["v"]):
+                other = ids != q_id
+                out += [(q_id, int(copy), i, max(-LONG - 1, min(LONG, s))) for i, s in exact_best(np.asarray(qv, np.float64), xv[other], ids[other], k)]
+        return pd.DataFrame(out, columns=["query_id", "copy", "vec_id", "score"]).astype("int64")
+
+    queries = scratch.table(dealt(_asked(asking, every), query_rows, "q_block"), f"{name}_queries")
+    rows = dealt(base.select("dim", "vec_id", "v"), bucket_rows, "part")
+    blocks, parts = queries.select("dim", "q_block").distinct(), rows.select("dim", "part").distinct()
+    both = rows.join(blocks, "dim").select("dim", "part", "q_block", "vec_id", "v", F.lit(None).cast("string").alias("copy"))
+    both = both.union(queries.join(parts, "dim").select("dim", "part", "q_block", "vec_id", "v", F.col("copy").cast("string")))
+    return both.groupBy("dim", "part", "q_block").applyInPandas(run, "query_id long, copy long, vec_id long, score long")
+
+
 def _top_k_of(spark: SparkSession, v: DataFrame, n: int, scratch: Scratch, name: str, k: int, every: int, bucket_rows: int, query_rows: int, sample: int) -> DataFrame:
     """(query_id, copy, vec_id, score) with the ``k`` best of each bucket part that a query entered; all rows are of one width."""
     buckets = max(1, min(1024, math.ceil(n / bucket_rows)))

@@ -97,3 +97,17 @@ def test_top_k_equals_brute_force(spark, bucket_rows):
     rows = [(i, None if e is None else [None if x is None else float(np.float32(x)) for x in e], v) for i, e, v in rows]
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == slow_top(rows, 5, 25)
     assert top_k(spark, df.limit(0)).count() == 0
+
+
+def test_top_k_of_many_widths_and_of_long_vectors(spark):
+    rng = random.Random(6)
+    big = [(i, [float(rng.randrange(-(2**22), 2**22)) for _ in range(3)], 0) for i in range(40)]
+    big += [(50, [2.0**23, 1.0, 1.0], 0), (51, [2.0**23, 1.0, 2.0], 0), (52, [1.0, 2.0, 3.0], 0), (54, [0.5, 0.25, 3.0], 0)]
+    df = spark.createDataFrame([(i, e) for i, e, _ in big], "vec_id long, embedding array<double>")
+    got = top_k(spark, df, k=5, every=4, bucket_rows=9, query_rows=4)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == slow_top(big, 5, 4)
+    wide = [(10 * w + j, [float(rng.randrange(3)) for _ in range(w)], 0) for w in range(1, 1041) for j in (0, 5)]
+    df = spark.createDataFrame([(i, e) for i, e, _ in wide[-200:] + wide[:1900]], "vec_id long, embedding array<double>")
+    got = top_k(spark, df.distinct(), k=1, every=10)
+    scores = {i: sum(int(a * 256) * int(b * 256) for a, b in zip(e, wide[n + 1][1])) for n, (i, e, _) in enumerate(wide) if i % 10 == 0}
+    assert {r.query_id: (r.vec_id, r.score) for r in got.collect()} == {i: (i + 5, s) for i, s in scores.items()}
