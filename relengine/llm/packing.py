@@ -1,4 +1,8 @@
-"""Best-fit packing of tokenized documents into sequences, in bulk-synchronous rounds."""
+"""Best-fit packing of tokenized documents into sequences.
+
+Rounds of distributed sweeps over sorted documents and gaps are replaced by one best-fit-decreasing loop in the driver over
+the counts of the at most 4096 lengths; Spark counts the lengths, ranks pieces within one and joins them to their places.
+"""
 
 from __future__ import annotations
 
