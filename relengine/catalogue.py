@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .database import Database
 from .dsl import query, relexp
-from .operators import Empty, Mono, Relation, Singleton
-from .sources import read_parquet
+from .errors import UnsupportedExpression
+from .functions import pyudf
+from .operators import Difference, Empty, Full, Intersect, Join, Mono, Product, Project, Relation, Select, Singleton, Union, Visitor, dependencies
+from .sources import Tuples, read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -344,6 +346,167 @@ def dsl_minus(t: Tables) -> DataFrame:
     return query(t.db, "(o) minus (l)", o=t.relation("orders", "o_orderkey"), l=t.relation("lineitem", "l_orderkey"))
 
 
+@register("SELECT DISTINCT n.n_nationkey * 10 + r.r_regionkey AS code, n.n_name FROM nation n CROSS JOIN region r")
+def dsl_cross(t: Tables) -> DataFrame:
+    return query(t.db, "(n) cross (r) on [l.n_nationkey * 10 + r.r_regionkey as code, l.n_name as n_name]", n=t.relation("nation"), r=t.relation("region"))
+
+
+@register(f"SELECT value FROM ({UNION}) u WHERE value > 3")
+def dsl_union(t: Tables) -> DataFrame:
+    return query(t.db, "select * from ((c) union (s)) where [value > 3]", c=t.relation("customer", "c_nationkey"), s=t.relation("supplier", "s_nationkey"))
+
+
+@register(INTERSECT)
+def dsl_intersect(t: Tables) -> DataFrame:
+    return query(t.db, "(c) intersect (s)", c=t.relation("customer", "c_nationkey"), s=t.relation("supplier", "s_nationkey"))
+
+
+@register("SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus FROM (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders) o WHERE o_orderstatus = 'O'")
+def dsl_select_all(t: Tables) -> DataFrame:
+    return query(t.db, "select * from (o) where [o_orderstatus = 'O']", o=t.relation("orders", "o_orderkey", "o_custkey", "o_orderstatus"))
+
+
+@register("SELECT 7 AS a, 'seven' AS b")
+def dsl_singleton(t: Tables) -> DataFrame:
+    return query(t.db, "[struct(7 as a, 'seven' as b)]").select(F.col("value.a").alias("a"), F.col("value.b").alias("b"))
+
+
+@register("SELECT * FROM (VALUES (1, 'one'), (2, 'two'), (5, 'five')) t(n, word)")
+def dsl_create_relation_insert(t: Tables) -> DataFrame:
+    r = query(t.db, 'create relation "words" : <n int, word string>')
+    query(t.db, "insert into (r) values [struct(1, 'one'), struct(2, 'two'), struct(2, 'two')]", r=r)
+    query(t.db, "insert into (r) values [struct(5, 'five'), struct(1, 'one')]", r=r)
+    return query(t.db, "r", r=r)
+
+
+@register("SELECT DISTINCT o_custkey AS value FROM orders WHERE o_orderstatus = 'F'")
+def dsl_create_view(t: Tables) -> DataFrame:
+    r, insert = t.growing("orders", "o_custkey", "o_orderstatus")
+    return grown(t, query(t.db, "create view as (select [o_custkey] from (r) where [o_orderstatus = 'F'])", r=r), insert)
+
+
+@register("SELECT DISTINCT n_name FROM nation WHERE list_contains(string_split(n_name, '_'), '3') OR list_contains(string_split(n_name, '_'), '11')")
+def select_array_contains(t: Tables) -> DataFrame:
+    parts = t.relation("nation").builder().project(lambda n: {"n_name": n.n_name, "parts": F.split(n.n_name, "_")})
+    return t.db.evaluate(parts.select(lambda x: F.array_contains(x.parts, "3") | F.array_contains(x.parts, "11")).project(lambda x: {"n_name": x.n_name}))
+
+
+@register("SELECT DISTINCT reverse(n_name) AS value FROM nation WHERE length(n_name) % 2 = 0")
+def closure_in_python(t: Tables) -> DataFrame:
+    even = pyudf(lambda s: len(s) % 2 == 0, "boolean")
+    return t.db.evaluate(t.relation("nation", "n_name").builder().select(even).project(pyudf(lambda s: s[::-1], "string")))
+
+
+@register("SELECT DISTINCT c_custkey % 7 AS value FROM customer WHERE c_custkey % 2 = 0")
+def built_expression(t: Tables) -> DataFrame:
+    return t.db.evaluate(t.relation("customer", "c_custkey").builder().select(lambda v: v % 2 == 0).project(lambda v: v % 7).build())
+
+
+@register("SELECT r_name AS value FROM region UNION SELECT 'ATLANTIS' UNION SELECT 'MU'")
+def tuples_round_trip(t: Tables) -> DataFrame:
+    names = t.db.tuples(t.relation("region", "r_name"))
+    r = t.db.add_relation("names", "string")
+    t.db.insert(r, Tuples(["MU", *names, "ATLANTIS"]).merge(["MU"]))
+    return t.db.evaluate(r)
+
+
+@register("SELECT n_regionkey AS value FROM nation UNION SELECT 99")
+def view_singleton(t: Tables) -> DataFrame:
+    r, insert = t.growing("nation", "n_regionkey")
+    return grown(t, t.db.store_view(r.builder().union(Singleton(99, "bigint" if dict(t.frame("nation").dtypes)["n_regionkey"] == "bigint" else "int"))), insert)
+
+
+@register("SELECT DISTINCT n_regionkey AS value FROM nation")
+def view_empty(t: Tables) -> DataFrame:
+    r, insert = t.growing("nation", "n_regionkey")
+    return grown(t, t.db.store_view(Union(Select(Empty(r.schema), lambda v: v > 0), r)), insert)
+
+
+@register("SELECT DISTINCT n_nationkey + 1 AS value FROM nation")
+def view_of_old_tuples(t: Tables) -> DataFrame:
+    r, insert = t.growing("nation", "n_nationkey")
+    insert(0)
+    t.db.evaluate(r).count()  # the relation has taken them in before there is a view
+    view = t.db.store_view(r.builder().project(lambda v: v + 1))
+    insert(1)
+    return t.db.evaluate(view)
+
+
+def refused(t: Tables, *attempts: Callable) -> DataFrame:
+    """What each attempt raises: the expression's name and the operation."""
+    rows = []
+    for attempt in attempts:
+        try:
+            attempt()
+        except UnsupportedExpression as e:
+            rows.append((e.name, e.operation))
+    return t.spark.createDataFrame(rows, "name string, operation string")
+
+
+@register("SELECT * FROM (VALUES ('Full', 'Evaluate'), ('Full', 'Evaluate')) t(name, operation)")
+def full_is_refused(t: Tables) -> DataFrame:
+    full = Full("int")
+    return refused(t, lambda: t.db.evaluate(full), lambda: t.db.evaluate(Product(t.relation("nation", "n_nationkey"), full, lambda a, b: a)), lambda: t.db.evaluate(Empty("int")))
+
+
+@register("SELECT * FROM (VALUES ('Difference', 'Create View'), ('Difference', 'Create View'), ('Full', 'Evaluate')) t(name, operation)")
+def views_are_validated(t: Tables) -> DataFrame:
+    r = t.relation("nation", "n_nationkey")
+    inside = r.builder().union(r.builder().difference(r)).select(lambda v: v > 0)
+    return refused(t, lambda: t.db.store_view(r.builder().difference(r)), lambda: t.db.store_view(inside), lambda: t.db.store_view(Union(r, Full(r.schema))), lambda: t.db.store_view(r))
+
+
+class Outline(Visitor):
+    """Names of nodes in the order of a walk, with their depth."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, int, str]] = []
+        self.depth = 0
+
+    def walk(self, e) -> None:
+        self.rows.append((len(self.rows), self.depth, type(e).__name__))
+        self.depth += 1
+        super().walk(e)
+        self.depth -= 1
+
+
+def outlined(t: Tables):
+    n, r, s = t.relation("nation", "n_nationkey"), t.relation("region", "r_regionkey"), t.relation("supplier", "s_nationkey")
+    view = t.db.store_view(s)
+    pairs = Product(Union(n, r), Select(view, lambda v: v > 1), lambda a, b: a + b)
+    return Project(Join(pairs, Difference(n, r), lambda v: v, lambda v: v, lambda k, a, b: a), lambda v: v * 2), (n, r, s), view
+
+
+@register("SELECT * FROM (VALUES (0, 0, 'Project'), (1, 1, 'Join'), (2, 2, 'Product'), (3, 3, 'Union'), (4, 4, 'Relation'), (5, 4, 'Relation'), (6, 3, 'Select'), (7, 4, 'View'), (8, 2, 'Difference'), (9, 3, 'Relation'), (10, 3, 'Relation')) t(place, depth, node)")
+def visitor_walk(t: Tables) -> DataFrame:
+    seen = Outline()
+    outlined(t)[0].visit(seen)
+    return t.spark.createDataFrame(seen.rows, "place int, depth int, node string")
+
+
+@register("SELECT * FROM (VALUES ('nation_1', FALSE), ('region_2', FALSE), ('the view', TRUE)) t(name, is_view)")
+def dependencies_of_a_tree(t: Tables) -> DataFrame:
+    e, _, view = outlined(t)
+    relations, views = dependencies(e)
+    rows = [(n, False) for n in relations] + [("the view", True) for v in views if v is view]
+    return t.spark.createDataFrame(rows, "name string, is_view boolean")
+
+
+@register("SELECT * FROM (VALUES ('of the projection', 'Join'), ('left of the join', 'Product'), ('right of the join', 'Difference'), ('left of the product', 'Union'), ('of the selection', 'View')) t(place, node)")
+def parts_of_a_tree(t: Tables) -> DataFrame:
+    e = outlined(t)[0]
+    j = e.expression
+    found = {"of the projection": j, "left of the join": j.left, "right of the join": j.right, "left of the product": j.left.left, "of the selection": j.left.right.expression}
+    return t.spark.createDataFrame([(k, type(v).__name__) for k, v in found.items()], "place string, node string")
+
+
+@register("SELECT DISTINCT n_nationkey AS value FROM nation WHERE n_nationkey > 0 AND n_nationkey % 2 = 0")
+def nodes_without_builders(t: Tables) -> DataFrame:
+    """Nodes take expressions and builders that aren't built alike."""
+    n = t.relation("nation", "n_nationkey")
+    return t.db.evaluate(Intersect(n.builder().select(lambda v: v > 0), Select(n, lambda v: v % 2 == 0)))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with finished orders and their priorities: a null-safe join, a selection and a projection."""
     t = Tables(spark, sf_dir)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from .errors import InstanceExists, InstanceNotFound, UnsupportedExpression
-from .operators.nodes import Difference, Expression, Full, Relation, View, no_rows, to_expression
+from .operators.nodes import Difference, Expression, Full, Intersect, Join, Product, Project, Relation, Select, Union, View, no_rows, to_expression
 from .operators.visitor import contains
 from .plans import Change, changes, evaluate, rewrite
 from .plans.compile import Plan
@@ -48,14 +48,18 @@ class Instance:
 
 @dataclass
 class Stored:
-    """A view's instance, and the last epoch of each instance it reads that it has taken in (None: nothing yet)."""
+    """A view's instance, and the last epoch of each instance it reads that it has taken in (None: nothing yet).
+
+    ``plan`` is the expression that is maintained: the view's own, with inner joins as views of their own.
+    """
 
     view: View
+    plan: Expression
     instance: Instance
     seen: dict[Any, int] | None = None
 
     def copy(self) -> Stored:
-        return Stored(self.view, self.instance.copy(), None if self.seen is None else dict(self.seen))
+        return Stored(self.view, self.plan, self.instance.copy(), None if self.seen is None else dict(self.seen))
 
 
 def _union(dfs: Iterable[DataFrame]) -> DataFrame | None:
@@ -121,11 +125,32 @@ class Database:
         if contains(e, Full):
             raise UnsupportedExpression("Full", "Evaluate")
         self._check(e)
+        return self._keep_view(e)
+
+    def _keep_view(self, e: Expression) -> View:
+        plan = self._staged(rewrite(e))
         self._next += 1
         v = View((self._family, self._next), e)
-        self._views[v.reference] = Stored(v, Instance(e.schema))
+        self._views[v.reference] = Stored(v, plan, Instance(e.schema))
         return v
 
+    def _staged(self, e: Expression) -> Expression:
+        """``e`` with each join or intersection below another pair of inputs as a view of its own.
+
+        A refresh then meets what such an input had as a stored table and what it gained as a small one, and never joins old tuples again.
+        """
+        if isinstance(e, (Select, Project)):
+            x = self._staged(e.expression)
+            return Select(x, e.predicate) if isinstance(e, Select) else Project(x, e.mapper)
+        if isinstance(e, Union):
+            return Union(self._staged(e.left), self._staged(e.right))
+        if isinstance(e, (Join, Product, Intersect)):
+            left, right = (self._keep_view(x) if contains(x, Join) or contains(x, Intersect) else x for x in (e.left, e.right))
+            if isinstance(e, Join):
+                return Join(left, right, e.left_key, e.right_key, e.mapper)
+            return Product(left, right, e.mapper) if isinstance(e, Product) else Intersect(left, right)
+        return e
+
     def clone(self) -> Database:
         """A snapshot: both go on apart, and handles of relations and views work on both.  DataFrames are shared, not copied."""
         other = Database.__new__(Database)
@@ -176,7 +201,8 @@ class Database:
                 self._append(i, new)
                 i.pending = []
             return
-        stored, e = self._views[leaf.reference], leaf.expression
+        stored = self._views[leaf.reference]
+        e = stored.plan
         inputs = list(dict.fromkeys(self._leaves(e)))
         for x in inputs:
             self._refresh(x)
@@ -190,7 +216,7 @@ class Database:
             old = seen.get(_key(x), 0)
             return Change(source.upto(old), source.since(old))
 
-        gain = changes(rewrite(e), change, first).new
+        gain = changes(e, change, first).new
         if gain is not None:
             self._append(i, gain.distinct())
         stored.seen = now
@@ -198,10 +224,19 @@ class Database:
             self._compact(x)
 
     def _append(self, i: Instance, new: DataFrame) -> None:
-        """One more epoch, of the tuples of ``new`` that aren't there yet; written, so that plans don't grow with epochs."""
-        old = i.upto(i.last)
-        kept = self._store.keep(new if old is None else new.subtract(old))
-        if not kept.isEmpty():
+        """One more epoch, of the tuples of ``new`` (distinct) that aren't there yet; written, so that plans don't grow with epochs.
+
+        What is there is much more than what is new, as a rule.  If the new tuples are few enough to be broadcast, by Spark's estimate
+        or as measured once they are written, what is there is only scanned for them and isn't shuffled; else both are.
+        """
+        old, store = i.upto(i.last), self._store
+        if old is not None and store.is_small(new, of_pure=True):
+            kept = store.keep(missing(new, old))
+        else:
+            kept = store.keep(new)
+            if old is not None:
+                kept = store.keep(missing(kept, old) if store.is_small(kept) else kept.subtract(old))
+        if not store.is_empty(kept):
             i.epochs.append((i.last + 1, kept))
 
     def _compact(self, x: Expression) -> None:
@@ -217,5 +252,20 @@ class Database:
             i.epochs = [i.epochs[0], merged, *[x for x in i.epochs if x[0] > low]]
 
 
+def missing(few: DataFrame, many: DataFrame) -> DataFrame:
+    """The distinct rows of ``few`` that ``many`` lacks.  Of ``many``, only rows whose hash ``few`` has come to the exact comparison.
+
+    What is broadcast is ``few``, and the rows of ``many`` that it may hold.
+    """
+    equal = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) for i in range(len(a.columns))])
+    a, b = few.toDF(*[f"a{i}" for i in range(len(few.columns))]), many.toDF(*[f"b{i}" for i in range(len(few.columns))])
+    if any(t in few.schema.simpleString() for t in ("float", "double")):  # equal ones, as 0.0 and -0.0, may differ in their hashes
+        there = b.join(F.broadcast(a), equal(a, b), "left_semi")
+    else:
+        there = b.join(F.broadcast(a.select(F.xxhash64(*a.columns).alias("h"))), F.xxhash64(*b.columns) == F.col("h"), "left_semi")
+    there = there.distinct()
+    return a.join(F.broadcast(there), equal(a, there), "left_anti").toDF(*few.columns)
+
+
 def _key(x: Expression) -> Any:
     return x.reference if isinstance(x, View) else x.name

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -40,15 +39,17 @@ def product(e: Product, left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.select(columns_of(e.mapper(proxy(e.left.schema, "l"), proxy(e.right.schema, "r"))))
 
 
-def mentions(columns: list[Column], name: str) -> bool:
-    """Whether columns may read a name; a text that only looks like it counts too, and so does one that Spark cut short."""
-    return any(re.search(rf"(?<![\w.]){name}(?!\w)|more fields", str(c)) for c in columns)
+def read_columns(df: DataFrame) -> set[str]:
+    """Names of the columns that the outermost projection of ``df`` reads, as Spark has resolved them."""
+    found = df._jdf.queryExecution().analyzed().references().toSeq()
+    return {found.apply(i).name() for i in range(found.size())}
 
 
-def join(e: Join, left: DataFrame, right: DataFrame) -> DataFrame:
+def join(e: Join, left: DataFrame, right: DataFrame, nulls_apart: bool = False) -> DataFrame:
     """A null-safe equi-join; plain equality where a side's key can't be null, as that lets Catalyst infer filters.
 
-    If the mapper reads the key and one side alone, a semi-join gives the same set with fewer rows.
+    With ``nulls_apart``, a key of one column is compared plainly, which is much faster, and null keys are joined on their own; their
+    filters reach the scans, whose statistics tell where there are none.  If the mapper reads the key and one side alone, a semi-join gives the same set with fewer rows.
     """
     out = e.mapped()
     lk, rk = e.key_schemas
@@ -65,11 +66,19 @@ def join(e: Join, left: DataFrame, right: DataFrame) -> DataFrame:
     for i, (a, b) in enumerate(zip(lk.fields, rk.fields)):
         x, y = F.col(f"lk{i}"), F.col(f"rk{i}")
         on.append(x.eqNullSafe(y) if a.nullable and b.nullable else x == y)
-    condition = reduce(lambda a, b: a & b, on)
+    if nulls_apart and len(on) == 1 and lk.fields[0].nullable and rk.fields[0].nullable:
+        x, y = F.col("lk0"), F.col("rk0")
+        return joined(l, r, x == y, out, key).union(joined(l.where(x.isNull()), r.where(y.isNull()), x.eqNullSafe(y), out, key))
+    return joined(l, r, reduce(lambda a, b: a & b, on), out, key)
+
+
+def joined(l: DataFrame, r: DataFrame, condition: Column, out: list[Column], key: Callable[[str], Column]) -> DataFrame:  # noqa: E741
+    whole = l.join(r, condition).select("l", "r", key("l")).select(out)
+    reads = read_columns(whole)
     for main, other, name, unread in ((l, r, "l", "r"), (r, l, "r", "l")):
-        if not mentions(out, unread):
+        if unread not in reads:
             return main.join(other, condition, "left_semi").select(name, key(name)).select(out)
-    return l.join(r, condition).select("l", "r", key("l")).select(out)
+    return whole
 
 
 def evaluate(e: Expression, leaf: Callable[[Expression], Plan]) -> Plan:
@@ -144,6 +153,6 @@ def changes(e: Expression, leaf: Callable[[Expression], Change], first: bool) ->
     left, right = changes(e.left, leaf, first), changes(e.right, leaf, first)
     if isinstance(e, Union):
         return Change(both(left.old, right.old), both(left.new, right.new))
-    pair = {Intersect: lambda a, b: a.intersect(b), Product: lambda a, b: product(e, a, b), Join: lambda a, b: join(e, a, b)}[type(e)]
+    pair = {Intersect: lambda a, b: a.intersect(b), Product: lambda a, b: product(e, a, b), Join: lambda a, b: join(e, a, b, nulls_apart=True)}[type(e)]
     of = lambda a, b: None if a is None or b is None else pair(a, b)
     return Change(of(left.old, right.old), both(of(left.new, right.all), of(left.old, right.new)))

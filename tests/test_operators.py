@@ -53,30 +53,29 @@ def test_select_and_project(db):
     assert db.tuples(r.builder().project(lambda v: v % 3)) == [0, 1, 2]
     assert db.tuples(r.builder().project(lambda v: (v, v * 2)).select(lambda t: t[1] > 8).project(lambda t: t._1)) == [5, 6]
     assert db.tuples(r.builder().project(lambda v: True)) == [True]
-    fruit = db.add_relation("fruit", "string")
-    db.insert(fruit, ["Apple", "BANANA", "cherry"])
-    assert db.tuples(fruit.builder().project(F.lower)) == ["apple", "banana", "cherry"]
-    assert db.tuples(fruit.builder().select(lambda s: s.contains("A"))) == ["Apple", "BANANA"]
-    assert db.tuples(fruit.builder().project(pyudf(lambda s: s[::-1], "string"))) == ["ANANAB", "elppA", "yrrehc"]
+    towns = db.add_relation("towns", "string")
+    db.insert(towns, ["Oslo", "ULM", "graz"])
+    assert db.tuples(towns.builder().project(F.lower)) == ["graz", "oslo", "ulm"]
+    assert db.tuples(towns.builder().select(lambda s: s.contains("l"))) == ["Oslo"]
+    assert db.tuples(towns.builder().project(pyudf(lambda s: s[::-1], "string"))) == ["MLU", "olsO", "zarg"]
 
 
 def test_union_intersect_difference(db):
-    r, s, t = ints(db, "r", [1, 2, 3, 4]), ints(db, "s", [100, 5, 200]), ints(db, "t", [40, 30, 4])
-    assert db.tuples(r.builder().union(s).union(t)) == [1, 2, 3, 4, 5, 30, 40, 100, 200]
-    u = ints(db, "u", [0, 4, 2, 6])
-    assert db.tuples(r.builder().intersect(u)) == [2, 4]
-    assert db.tuples(r.builder().intersect(u).intersect(t)) == [4]
-    assert db.tuples(r.builder().difference(u)) == [1, 3]
-    five, a, b = ints(db, "five", [1, 2, 3, 4, 5]), ints(db, "a", [100, 4, 2]), ints(db, "b", [1, 2, 4, 100])
-    assert db.tuples(five.builder().difference(a).difference(b)) == [3, 5]
-    assert db.tuples(r.builder().difference(r)) == [] and db.tuples(r.builder().difference(Empty("int"))) == [1, 2, 3, 4]
-    assert db.tuples(Union(Singleton(1, "int"), Empty("int"))) == [1]
+    sets = {"low": set(range(0, 14)), "thirds": set(range(0, 40, 3)), "squares": {v * v for v in range(7)}}
+    r, s, t = (ints(db, n, sorted(v, reverse=True) * 2) for n, v in sets.items())
+    a, b, c = sets.values()
+    assert set(db.tuples(r.builder().union(s).union(t))) == a | b | c
+    assert set(db.tuples(r.builder().intersect(s).intersect(t))) == a & b & c
+    assert set(db.tuples(s.builder().difference(r).difference(t))) == b - a - c
+    assert set(db.tuples(s.builder().difference(r.builder().difference(t)))) == b - (a - c)
+    assert db.tuples(t.builder().difference(t)) == [] and set(db.tuples(t.builder().difference(Empty("int")))) == c
+    assert db.tuples(Union(Empty("int"), Singleton(-3, "int"))) == [-3]
     with pytest.raises(TypeError):
         Union(r, Singleton("a"))
     arrays = [db.add_relation(n, ArrayType(IntegerType())) for n in ("x", "y")]
-    db.insert(arrays[0], [[1], [2], [1, None], [1]])
-    db.insert(arrays[1], [[1]])
-    assert db.tuples(Difference(*arrays)) == [[1, None], [2]]
+    db.insert(arrays[0], [[9, 8], [7], [9, None], [7]])
+    db.insert(arrays[1], [[7]])
+    assert db.tuples(Difference(*arrays)) == [[9, None], [9, 8]]
 
 
 def test_selection_goes_to_both_sides_of_set_operations(db):
@@ -86,26 +85,31 @@ def test_selection_goes_to_both_sides_of_set_operations(db):
 
 
 def test_product(db):
-    r, s = ints(db, "r", [1, 2, 3, 4]), ints(db, "s", [0, 4, 5, 6])
-    assert db.tuples(r.builder().product(s).on(lambda a, b: a + b)) == sorted({a + b for a in [1, 2, 3, 4] for b in [0, 4, 5, 6]})
-    assert len(db.tuples(Product(r, Product(s, r, lambda a, b: a * 10 + b), lambda a, b: (a, b)))) == 64
+    heights, offsets = {3, 50, 51, 700}, {-2, 0, 9}
+    r, s = ints(db, "heights", heights), ints(db, "offsets", offsets)
+    assert set(db.tuples(r.builder().product(s).on(lambda a, b: a * 2 - b))) == {a * 2 - b for a in heights for b in offsets}
+    nested = Product(s, Product(r, s, lambda a, b: a * 1000 + b), lambda a, b: (a, b))
+    assert set(db.tuples(nested)) == {(x, a * 1000 + b) for x in offsets for a in heights for b in offsets}
     assert db.tuples(Product(r, Empty("int"), lambda a, b: a)) == []
 
 
 def test_join(db):
-    r, s = pairs(db, "r", [(1, 4), (2, 2), (1, 3)]), pairs(db, "s", [(1, 5), (3, 2), (1, 6)])
-    t = pairs(db, "t", [(1, 40), (2, 41), (3, 42), (4, 43)])
-    rs = r.builder().with_key(lambda x: x._1).join(s.builder().with_key(lambda x: x._1)).on(lambda _, a, b: (a._2, b._2))
-    assert db.tuples(rs) == [(3, 5), (3, 6), (4, 5), (4, 6)]
-    rst = rs.with_key(lambda x: x._1).join(t.builder().with_key(lambda x: x._1)).on(lambda _, a, b: b._2)
-    assert db.tuples(rst) == [42, 43]
-    one, two = Singleton((1, 2)), Singleton((3, 5))
-    assert db.tuples(Join(one, two, lambda x: x._1, lambda x: x._1 - 2, lambda k, a, b: (k, a._2, b._2))) == [(1, 2, 5)]
-    fruit, n = db.add_relation("fruit", "_1 int, _2 string"), ints(db, "n", [0, 2])
-    db.insert(fruit, [(0, "Apple"), (1, "Banana"), (2, "Cherry")])
-    assert db.tuples(Join(fruit, n, lambda x: x._1, lambda v: v, lambda k, a, v: F.concat(a._2, (k + v).cast("string")))) == ["Apple0", "Cherry4"]
+    trains = [(7, 70), (8, 81), (7, 72), (9, 90), (8, 81)]
+    crews = [(8, 3), (7, 1), (10, 4), (8, 5)]
+    depots = [(70, 11), (72, 12), (81, 13), (99, 14)]
+    r, s, t = pairs(db, "trains", trains), pairs(db, "crews", crews), pairs(db, "depots", depots)
+    key = lambda x: x._1
+    manned = r.builder().with_key(key).join(s.builder().with_key(key)).on(lambda _, a, b: (a._2, b._2))
+    want = {(a[1], b[1]) for a in trains for b in crews if a[0] == b[0]}
+    assert set(db.tuples(manned)) == want
+    placed = manned.with_key(key).join(t.builder().with_key(key)).on(lambda k, a, b: (k, a._2 + b._2))
+    assert set(db.tuples(placed)) == {(a[0], a[1] + b[1]) for a in want for b in depots if a[0] == b[0]}
+    assert db.tuples(Join(Singleton((20, 4)), Singleton((25, 6)), lambda x: x._1, lambda x: x._1 - 5, lambda k, a, b: (b._2, k, a._2))) == [(6, 20, 4)]
+    gates, numbers = db.add_relation("gates", "_1 int, _2 string"), ints(db, "numbers", [4, 6, 31])
+    db.insert(gates, [(4, "north"), (5, "east"), (6, "west")])
+    assert db.tuples(Join(gates, numbers, lambda x: x._1, lambda v: v, lambda k, a, v: F.concat(a._2, F.lit("-"), (k * v).cast("string")))) == ["north-16", "west-36"]
     with pytest.raises(TypeError):
-        db.evaluate(Join(fruit, n, lambda x: x._2, lambda v: v, lambda k, a, v: v))
+        db.evaluate(Join(gates, numbers, lambda x: x._2, lambda v: v, lambda k, a, v: v))
 
 
 def test_keys_are_null_safe(db):
@@ -119,6 +123,14 @@ def test_keys_are_null_safe(db):
     assert db.tuples(Difference(Project(s, lambda x: x.k), Project(r, lambda x: x.k))) == [2]
 
 
+def test_what_a_join_reads_is_found_by_resolution(db):
+    """A text that looks like the other side's column doesn't count, and a key alone needs no side's tuples."""
+    r, s = pairs(db, "r", [(1, 2), (3, 4)]), pairs(db, "s", [(1, 5), (1, 6)])
+    e = Join(r, s, lambda x: x._1, lambda x: x._1, lambda k, a, b: (F.lit("r._2"), a._2))
+    assert db.tuples(e) == [("r._2", 2)] and "LeftSemi" in plan_of(db.evaluate(e))
+    assert db.tuples(Join(r, s, lambda x: x._1, lambda x: x._1, lambda k, a, b: k)) == [1]
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 

@@ -24,36 +24,76 @@ def test_inserts_that_change_nothing(db):
     assert len(db._relations["r"].epochs) == 1
 
 
-def test_odd_numbers_after_two_inserts(db):
-    r = rel(db, "lost", "bigint", [4, 8, 15, 16, 23, 42])
-    odd = db.store_view(r.builder().select(lambda v: v % 2 == 1))
-    assert db.tuples(odd) == [15, 23]
-    db.insert(r, [8, 888, 23, 1001, 8008, 101])
-    assert db.tuples(odd) == [15, 23, 101, 1001]
-
-
-def test_division_with_both_sides_growing(db):
-    a, b = rel(db, "a", "int", [6, 12, 18]), rel(db, "b", "int", [2, 3])
-    q = db.store_view(a.builder().product(b).on(lambda x, y: {"x": x, "y": y}).project(lambda t: F.expr("x div y")))
-    assert db.tuples(q) == [2, 3, 4, 6, 9]
-    db.insert(a, [24, 30])
-    db.insert(b, [1])
-    assert db.tuples(q) == sorted({x // y for x in (6, 12, 18, 24, 30) for y in (1, 2, 3)})
-
-
-def test_join_views(db):
-    r, s = rel(db, "r", "_1 int, _2 int", [(1, 4), (2, 2), (1, 3)]), rel(db, "s", "_1 int, _2 int", [(1, 5), (3, 2), (1, 6)])
-    t = rel(db, "t", "_1 int, _2 int", [(1, 40), (2, 41), (3, 42), (4, 43)])
-    key = lambda x: x._1
-    rs = r.builder().with_key(key).join(s.builder().with_key(key)).on(lambda _, a, b: (a._2, b._2))
-    v = db.store_view(rs)
-    assert db.tuples(v) == [(3, 5), (3, 6), (4, 5), (4, 6)]
-    db.insert(s, [(1, 7)])
-    assert db.tuples(v) == [(3, 5), (3, 6), (3, 7), (4, 5), (4, 6), (4, 7)]
-    deep = db.store_view(v.builder().with_key(key).join(t.builder().with_key(key)).on(lambda _, a, b: b._2))
-    assert db.tuples(deep) == [42, 43]
-    both = db.store_view(r.builder().union(s).with_key(key).join(t.builder().with_key(key)).on(lambda _, a, b: a._2 * b._2))
-    assert db.tuples(both) == sorted({x * y for a, x in [(1, 4), (2, 2), (1, 3), (1, 5), (3, 2), (1, 6), (1, 7)] for b, y in [(1, 40), (2, 41), (3, 42), (4, 43)] if a == b})
+def test_selection_follows_many_batches(db):
+    rng, held = random.Random(11), set()
+    r = rel(db, "r", "bigint")
+    view = db.store_view(r.builder().select(lambda v: v % 7 < 3))
+    for n in (40, 0, 1, 25):
+        batch = [rng.randrange(300) for _ in range(n)]
+        db.insert(r, batch)
+        held |= set(batch)
+        assert db.tuples(view) == sorted(v for v in held if v % 7 < 3)
+
+
+def test_product_with_either_side_or_both_growing(db):
+    rng, held = random.Random(12), ([], [])
+    sides = [rel(db, n, "int") for n in ("dividend", "divisor")]
+    view = db.store_view(sides[0].builder().product(sides[1]).on(lambda x, y: {"x": x, "y": y}).project(lambda t: (F.expr("x div y"), t.x % t.y)))
+    for grows in ((0, 1), (0,), (1,), (0, 1)):
+        for i in grows:
+            batch = [rng.randrange(1, 500) for _ in range(5)]
+            db.insert(sides[i], batch)
+            held[i].extend(batch)
+        assert set(db.tuples(view)) == {(x // y, x % y) for x in held[0] for y in held[1]}
+
+
+def three(db, rng):
+    """Relations of pairs with few keys, some of them null, and their Python sets."""
+    made = {}
+    for name, width in (("ports", 9), ("ships", 5), ("cargo", 30)):
+        values = [(rng.choice([None, *range(width)]), rng.randrange(width)) for _ in range(12)]
+        made[name] = (rel(db, name, "key int, payload int", values), set(values))
+    return made
+
+
+def joined(x, y, f):
+    return {f(a, b) for a in x for b in y if a[0] == b[0]}
+
+
+def test_joins_over_joins_with_any_input_growing(db):
+    rng = random.Random(13)
+    made = three(db, rng)
+    key = lambda x: x[0]
+    (p, _), (s, _), (c, _) = made.values()
+    inner = p.builder().with_key(key).join(s.builder().with_key(key)).on(lambda _, a, b: (b.payload, a.payload))
+    deep = db.store_view(inner.with_key(key).join(c.builder().with_key(key)).on(lambda k, a, b: (k, a[1] + b.payload)))
+    wide = db.store_view(p.builder().union(s).with_key(key).join(c.builder().with_key(key)).on(lambda _, a, b: a.payload * 100 + b.payload))
+    inner_view = db.store_view(inner)
+    for grows in ((), ("cargo",), ("ports", "ships"), ("ships",), ("ports", "cargo")):
+        for name in grows:
+            batch = [(rng.choice([None, *range(9)]), rng.randrange(30)) for _ in range(4)]
+            db.insert(made[name][0], batch)
+            made[name][1].update(batch)
+        ports, ships, cargo = (v for _, v in made.values())
+        pairs = joined(ports, ships, lambda a, b: (b[1], a[1]))
+        assert set(db.tuples(inner_view)) == pairs
+        assert set(db.tuples(deep)) == joined(pairs, cargo, lambda a, b: (a[0], a[1] + b[1]))
+        assert set(db.tuples(wide)) == joined(ports | ships, cargo, lambda a, b: a[1] * 100 + b[1])
+
+
+def test_a_refresh_does_not_shuffle_what_is_stored(db, spark, monkeypatch):
+    big = spark.range(20_000).selectExpr("id as k", "id % 97 as v")
+    r, s = db.attach("r", big, unique=True), rel(db, "s", "k bigint, w string", [(i, "x") for i in range(50)])
+    view = db.store_view(r.builder().with_key(lambda x: x.k).join(s.builder().with_key(lambda x: x.k)).on(lambda k, a, b: (k, a.v, b.w)))
+    assert len(db.tuples(view)) == 50
+    kept = []
+    keep = db._store.keep
+    monkeypatch.setattr(db._store, "keep", lambda df: (kept.append(df), keep(df))[1])
+    db.insert(s, [(i, "y") for i in range(100, 130)] + [(3, "x")])
+    assert len(db.tuples(view)) == 80
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in kept]
+    assert any("LeftAnti" in p for p in plans) and not any("SortMergeJoin" in p for p in plans)
+    assert all("Range" not in p.split("Exchange hashpartitioning")[-1] or "BroadcastHashJoin" in p.split("Exchange hashpartitioning")[-1] for p in plans)
 
 
 def test_rejected_views_leave_nothing(db):
@@ -67,34 +107,39 @@ def test_rejected_views_leave_nothing(db):
     assert db._views == {} and db.tuples(r) == [1]
 
 
-def test_late_view_stack_and_diamond(db):
-    r = rel(db, "r", "int", [1, 2])
-    assert db.tuples(r) == [1, 2]
-    v1 = db.store_view(r)
-    v2 = db.store_view(r.builder().with_key(lambda v: v).join(v1.builder().with_key(lambda v: v)).on(lambda _, a, b: a + b))
-    v3 = db.store_view(v2.builder().select(lambda v: v > 2))
-    v4 = db.store_view(Union(v3, Singleton(7, "int")))
-    assert [db.tuples(v) for v in (v1, v2, v3, v4)] == [[1, 2], [2, 4], [4], [4, 7]]
-    db.insert(r, [3])
-    assert [db.tuples(v) for v in (v4, v3, v2, v1)] == [[4, 6, 7], [4, 6], [2, 4, 6], [1, 2, 3]]
+def test_views_on_views_made_late(db):
+    r = rel(db, "r", "int", [5, 11])
+    assert db.tuples(r) == [5, 11]
+    base = db.store_view(r)
+    doubled = db.store_view(base.builder().with_key(lambda v: v).join(r.builder().with_key(lambda v: v)).on(lambda k, a, b: k + a + b))
+    large = db.store_view(doubled.builder().select(lambda v: v > 20))
+    extra = db.store_view(Union(large, Singleton(-1, "int")))
+    stack = [(base, lambda h: h), (doubled, lambda h: {3 * v for v in h}), (large, lambda h: {3 * v for v in h if v > 6}), (extra, lambda h: {-1} | {3 * v for v in h if v > 6})]
+    held = {5, 11}
+    for new in ((), (2, 30), (30,)):
+        db.insert(r, new)
+        held |= set(new)
+        for view, want in reversed(stack):
+            assert set(db.tuples(view)) == want(held)
     other = Database(db.spark)
     rel(other, "r", "int")
     with pytest.raises(InstanceNotFound):
-        other.evaluate(other.store_view(r) and v1)
+        other.evaluate(other.store_view(r) and base)
 
 
-def test_clones_go_apart(db):
-    a = rel(db, "a", "int", [1, 2, 3])
-    v = db.store_view(a.builder().project(lambda x: x * 10))
+def test_a_copy_and_its_origin_go_apart(db):
+    words = rel(db, "words", "string", ["ash", "birch", "cedar"])
+    sizes = db.store_view(words.builder().project(lambda w: (F.length(w), w)))
     copy = db.clone()
-    db.insert(a, [1, 4])
-    copy.insert(a, [1, 5])
-    assert (db.tuples(a), copy.tuples(a)) == ([1, 2, 3, 4], [1, 2, 3, 5])
-    assert (db.tuples(v), copy.tuples(v)) == ([10, 20, 30, 40], [10, 20, 30, 50])
-    late, other = db.store_view(a), copy.store_view(a)
+    want = lambda *more: sorted((len(w), w) for w in {"ash", "birch", "cedar", *more})
+    db.insert(words, ["oak", "ash"])
+    assert (db.tuples(sizes), copy.tuples(sizes)) == (want("oak"), want())
+    copy.insert(words, ["elm", "yew"])
+    assert (db.tuples(sizes), copy.tuples(sizes)) == (want("oak"), want("elm", "yew"))
+    late, other = db.store_view(words), copy.store_view(words)
     with pytest.raises(InstanceNotFound):
         copy.evaluate(late)
-    assert copy.tuples(other) == [1, 2, 3, 5]
+    assert copy.tuples(other) == ["ash", "birch", "cedar", "elm", "yew"]
 
 
 def test_epochs_are_compacted(db):
