@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.storage import shared_folder
+
 #: A word: a run of anything but space, tab, LF, VT, FF and CR.  ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(r"[^\x20\x09-\x0d]+")
 
-_own_dirs: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; the path may be of any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,50 +25,60 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="relengine-")
-    return _own_dirs[app]
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1 ... and the new name of each old one (of the first, where names repeat), so that no name can clash."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain, {c: f"c{i}" for i, c in reversed(list(enumerate(df.columns)))}
 
 
 class Scratch:
-    """Parquet tables of one operator run in the shared folder, so that a lost executor costs no recomputation beyond them."""
+    """Parquet tables of one operator run in the shared folder, so that a lost executor costs no recomputation beyond them.
+
+    They are deleted when the application ends, or before by :meth:`drop`.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        path, fs = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, path: str) -> tuple:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the table read back: its lineage is cut, its size known to the planner."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        """Write ``df`` and return the table read back: its lineage is cut, its size known to the planner.  A task writes one file."""
+        df.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            path, fs = self._at(self.path(name))
+            fs.delete(path, True)
 
 
-def prefix_before(df: DataFrame, scratch: Scratch, group: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the rows of the same ``group`` that come before this one.
+def prefix_before(df: DataFrame, scratch: Scratch, group: list[str], bucket: str, order: list, value: str | list[str], out: str | list[str]) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows of the same ``group`` that come before this one; or several of both.
 
     Rows are ordered by (``bucket``, ``order``); ``group`` and ``bucket`` must not be null.
     No group is ever in one task: sums per (group, bucket), combined map-side, become each bucket's
     base, and only rows of one bucket are sorted together.
     """
-    sums = df.groupBy(*group, bucket).agg(F.sum(value).alias("_sum"))
+    values, outs = ([x] if isinstance(x, str) else x for x in (value, out))
+    sums = df.groupBy(*group, bucket).agg(*[F.sum(v).alias(f"_sum{i}") for i, v in enumerate(values)])
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    bases = scratch.table(sums.select(*group, bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base")), f"bases_{out}")
+    bases = sums.select(*group, bucket, *[F.coalesce(F.sum(f"_sum{i}").over(before), F.lit(0)).alias(f"_base{i}") for i in range(len(values))])
+    bases = scratch.table(bases, f"bases_{outs[0]}")
     local = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("_local", F.coalesce(F.sum(value).over(local), F.lit(0)))
-    return rows.join(bases, [*group, bucket]).withColumn(out, F.col("_base") + F.col("_local")).drop("_base", "_local")
+    rows = df.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias(f"_local{i}") for i, v in enumerate(values)])
+    rows = rows.join(bases, [*group, bucket])
+    kept = [c for c in rows.columns if c in df.columns]
+    return rows.select(*kept, *[(F.col(f"_base{i}") + F.col(f"_local{i}")).alias(o) for i, o in enumerate(outs)])
 
 
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:

@@ -4,26 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WORD, Scratch, prefix_before, word_count
+from .common import WORD, Scratch, by_place, prefix_before, word_count
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int, scratch: Scratch) -> DataFrame:
     """Targets of (source, source_size): shares by weight of all sizes, none above ``repeats`` times its source.
 
     Sharing the excess anew until no target is above its cap is water filling: target = min(cap, weight * level),
     with one level for all.  With sources in order of cap / weight, the level is the greatest of
-    (total - caps before) / (weights from here on), so no loop is needed.  One row per source.
+    (total - caps before) / (weights from here on), so no loop is needed.  Sources are range-sorted twice, by name and by that
+    order, with prefix sums over the ranges, as there may be as many sources as hosts; only single figures come to the driver.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("long")
-    s = sizes.select("source", "source_size", weight.alias("w"), (F.col("source_size") * repeats).alias("cap"))
-    by_cap = Window.orderBy(F.col("cap").cast("double") / F.col("w"), F.col("source").asc_nulls_last())
-    before, everything = by_cap.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    s = s.select("*", F.coalesce(F.sum("cap").over(before), F.lit(0)).alias("caps"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("ws"), F.sum("source_size").over(everything).alias("total"), F.sum("w").over(everything).alias("all_w"))
-    s = s.withColumn("level", F.max((F.col("total") - F.col("caps")).cast("double") / (F.col("all_w") - F.col("ws")).cast("double")).over(everything))
-    return s.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("w") * F.col("level")).alias("target"))
+    by_name = F.col("source").asc_nulls_last()
+    s = sizes.repartitionByRange(by_name).select("source", "source_size", F.lit(1).cast("long").alias("one"), F.spark_partition_id().alias("part"))
+    s = prefix_before(scratch.table(s, "by_name"), scratch, [], "part", [by_name], "one", "place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    s = s.select("source", "source_size", weight.alias("w"), (F.col("source_size") * repeats).alias("cap"))
+    s = s.withColumn("ratio", F.col("cap").cast("double") / F.col("w"))
+    s = scratch.table(s.repartitionByRange(F.col("ratio"), by_name).withColumn("part", F.spark_partition_id()), "by_cap")
+    s = scratch.table(prefix_before(s, scratch, [], "part", [F.col("ratio"), by_name], ["cap", "w"], ["caps", "ws"]), "caps")
+    total, all_w = s.agg(F.sum("source_size"), F.sum("w")).first()
+    share = (F.lit(total) - F.col("caps")).cast("double") / (F.lit(all_w) - F.col("ws")).cast("double")
+    level = s.agg(F.max(share)).first()[0]
+    return s.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("w") * F.lit(level)).alias("target"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 17, buckets: int = 1024) -> DataFrame:
@@ -41,19 +45,19 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: tuple[int, ...] = (1,
     return _ordered(spark, docs, weights, repeats, seed, buckets).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last")).cast("long").alias("taken"))
 
 
-def _key(seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def _key(seed: int, doc_id: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
 def _ordered(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...], repeats: int, seed: int, buckets: int) -> DataFrame:
     """A slim row per document: its source (s_null, s_val), its place (key, doc_id, size, tie), its source's figures, the
     source's whole epochs, and ``last``, the words that the prefix of one more takes."""
     scratch = Scratch(spark, "mix")
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key"), F.xxhash64("text").alias("tie"))
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed, F.col("doc_id")).alias("key"), F.xxhash64("text").alias("tie"))
     slim = slim.select("*", F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s_val"), F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * buckets / 65536).cast("int").alias("bucket"))
     slim = scratch.table(slim, "slim")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = scratch.table(source_targets(sizes, weights, repeats).select(F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s_val"), "source_size", "target"), "plan")
+    plan = scratch.table(source_targets(sizes, weights, repeats, scratch).select(F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s_val"), "source_size", "target"), "plan")
     rows = prefix_before(slim, scratch, ["s_null", "s_val"], "bucket", ["key", "doc_id", "size", "tie"], "size", "before")
     rows = rows.join(plan, ["s_null", "s_val"])
     budget = F.floor("target").cast("long")
@@ -70,21 +74,25 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, *, weights: tuple[int,
     taken; of repeated rows at a cut, each is cut there.  Columns are those of ``docs``.
     """
     scratch = Scratch(spark, "mixed")
-    rows = _ordered(spark, docs, weights, repeats, seed, buckets)
+    plain, name = by_place(docs)  # so that no column of the input clashes with one of these
+    doc_id, source, text = (F.col(name[c]) for c in ("doc_id", "source", "text"))
+    rows = _ordered(spark, plain.select(doc_id.alias("doc_id"), source.alias("source"), text.alias("text")), weights, repeats, seed, buckets)
     place = F.struct("key", F.col("doc_id").alias("id"), "size", "tie")
     at_cut = (F.col("size") > 0) & (F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("size"))
-    cuts = rows.groupBy("s_null", "s_val").agg(F.max("epochs").alias("_epochs"), F.max(F.when(at_cut, F.struct(place.alias("at"), F.col("last").alias("words")))).alias("_cut"))
-    cuts = scratch.table(cuts.withColumnsRenamed({"s_null": "_null", "s_val": "_val"}), "cuts")
-    own = F.struct(_key(seed).alias("key"), F.col("doc_id").alias("id"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    j = docs.withColumns({"_own": own, "_s_null": F.col("source").isNull(), "_s_val": F.coalesce("source", F.lit(""))}).where("_own.size > 0")
-    j = j.join(cuts, (F.col("_s_null") == F.col("_null")) & (F.col("_s_val") == F.col("_val")))
-    whole = (F.col("_epochs") + F.coalesce((F.col("_own") < F.col("_cut.at")) | ((F.col("_own") == F.col("_cut.at")) & (F.col("_cut.words") == F.col("_own.size"))), F.lit(False)).cast("long")).cast("int")
-    part = F.when((F.col("_own") == F.col("_cut.at")) & (F.col("_cut.words") < F.col("_own.size")), F.col("_cut.words").cast("int"))
-    j = j.withColumn("_words", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(part.isNotNull(), F.array(part)).otherwise(F.array().cast("array<int>")))))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("_words"), F.lit(1))), " ")
-    text = F.when(F.col("_words") > 0, head).otherwise(F.col("text"))
-    cols = [text.alias("text") if c == "text" else F.when(F.col("_words") > 0, F.char_length(head)).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return j.select(*cols)
+    cuts = rows.groupBy("s_null", "s_val").agg(F.max("epochs").alias("epochs"), F.max(F.when(at_cut, F.struct(place.alias("at"), F.col("last").alias("words")))).alias("cut"))
+    cuts = scratch.table(cuts, "cuts")
+    own = F.struct(_key(seed, doc_id).alias("key"), doc_id.alias("id"), word_count(text).alias("size"), F.xxhash64(text).alias("tie"))
+    j = plain.select("*", own.alias("own"), source.isNull().alias("s_null"), F.coalesce(source, F.lit("")).alias("s_val")).where("own.size > 0").join(cuts, ["s_null", "s_val"])
+    whole = (F.col("epochs") + F.coalesce((F.col("own") < F.col("cut.at")) | ((F.col("own") == F.col("cut.at")) & (F.col("cut.words") == F.col("own.size"))), F.lit(False)).cast("long")).cast("int")
+    part = F.when((F.col("own") == F.col("cut.at")) & (F.col("cut.words") < F.col("own.size")), F.col("cut.words").cast("int"))
+    j = j.withColumn("words", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(part.isNotNull(), F.array(part)).otherwise(F.array().cast("array<int>")))))
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("words"), F.lit(1))), " ")
+    cut = F.col("words") > 0
+    changed = {"text": F.when(cut, head).otherwise(text)}
+    if "n_chars" in name:
+        changed["n_chars"] = F.when(cut, F.char_length(head)).otherwise(F.col(name["n_chars"])).cast(dict(plain.dtypes)[name["n_chars"]])
+    of = {name[c]: x for c, x in changed.items()}
+    return j.select(*[of.get(c, F.col(c)).alias(c) for c in plain.columns]).toDF(*docs.columns)
 
 
 SQL = r"""
