@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Scratch, components
+from .common import Scratch, by_place, components
 
 BITS = 64
 
@@ -34,14 +37,14 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long): a fingerprint per row; null and empty texts have 0."""
+    """(doc_id, fp long, tie long): a fingerprint per row; null and empty texts have 0.  ``tie`` is another hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), b.column("tie")], ["doc_id", "fp", "tie"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, fp long, tie long")
 
 
 class Forest:
@@ -116,17 +119,29 @@ def trie_links(values: np.ndarray, budget: int, forest: Forest, most: int = 1 <<
         stack.append((d + 1, *(np.concatenate(x) for x in zip(*parts))))
 
 
+def span_masks(n: int, budget: int, block: int) -> list[int]:
+    """Masks, as signed longs, of the choices of spans on which ``n`` fingerprints are grouped: those that deal a row to the fewest blocks."""
+
+    def dealt(spans: int) -> int:
+        return comb(spans, budget) * max(1, -(-(n >> (BITS * (spans - budget) // spans)) // block))
+
+    spans = min(range(budget + 1, budget + 5), key=dealt)
+    cuts = [round(i * BITS / spans) for i in range(spans + 1)]
+    one = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(one, spans - budget))]
+
+
 def hamming_links(fps: DataFrame, scratch: Scratch, budget: int = 4, block: int = 4096) -> DataFrame:
     """Links (src, dst) that connect just what pairs of distinct fingerprints at ``budget`` bits or fewer connect.
 
-    Of ``budget`` + 1 spans of bits, a pair within the budget agrees on one at least, so the trie over all
-    fingerprints falls into subtries, one per span and value, which are joined with themselves apart.  Exact copies
-    were counted once before (``fps`` is distinct).  A subtrie of over ``block`` fingerprints is cut into blocks and
-    every two blocks are joined, so that no task holds more than two.  Each task returns a spanning forest of its
-    links, not all pairs.
+    Of any number of spans of bits, a pair within the budget agrees on all but ``budget`` at least, so the trie over all
+    fingerprints falls into subtries, one for each choice of the other spans and their value, which are joined with themselves apart.
+    The number of spans grows with the table, so that subtries stay small and rows aren't dealt to ever more blocks.  Exact copies were counted once before (``fps`` is distinct).
+    A subtrie of over ``block`` fingerprints is cut into blocks and every two blocks are joined, so that no task holds more
+    than two.  Each task returns a spanning forest of its links, not all pairs.
     """
-    cuts = [round(i * BITS / (budget + 1)) for i in range(budget + 2)]
-    spans = F.array(*[F.struct(F.lit(i).alias("span"), F.shiftrightunsigned(F.shiftleft("fp", a), BITS - (b - a)).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+    masks = span_masks(fps.count(), budget, block)
+    spans = F.array(*[F.struct(F.lit(i).alias("span"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(masks)])
     rows = fps.select("fp", F.explode(spans).alias("s")).select("fp", "s.span", "s.value")
     sizes = rows.groupBy("span", "value").count()
     large = scratch.table(sizes.where(F.col("count") > block).select("span", "value", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "large")
@@ -182,6 +197,16 @@ def hamming_links(fps: DataFrame, scratch: Scratch, budget: int = 4, block: int
     return dealt.mapInArrow(run, "src long, dst long")
 
 
+def _groups(spark: SparkSession, docs: DataFrame, shingle: int, seed: int, budget: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, fp, tie), and (fp, least, component) with a row per distinct fingerprint; ``least`` is its least doc_id."""
+    rows = scratch.table(fingerprints(docs, shingle, seed), "rows")
+    fps = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    links = scratch.table(hamming_links(fps.select("fp"), scratch, budget), "links")
+    cc = components(links, scratch)
+    named = fps.join(cc, fps.fp == cc.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    return rows, scratch.table(named, "named")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 4, seed: int = 42, budget: int = 4) -> DataFrame:
     """Groups of documents linked by fingerprints that differ in ``budget`` bits or fewer.
 
@@ -191,18 +216,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 4, s
     such rows only has a null component_id); an empty table gives no rows; further columns are ignored.
     """
     scratch = Scratch(spark, "simhash")
-    rows = scratch.table(fingerprints(docs, shingle, seed), "rows")
-    fps = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    links = scratch.table(hamming_links(fps.select("fp"), scratch, budget), "links")
-    cc = components(links, scratch)
-    named = fps.join(cc, fps.fp == cc.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = scratch.table(named, "named")
+    rows, named = _groups(spark, docs, shingle, seed, budget, scratch)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     # (fp, component_id) has a row per distinct fingerprint; joined to all rows last.
     ids = scratch.table(named.join(least, "component").select(F.col("fp").alias("_fp"), "component_id"), "ids")
     return rows.join(ids, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, *, shingle: int = 4, seed: int = 42, budget: int = 4) -> DataFrame:
+    """One row of ``docs`` for each group of :func:`near_duplicates`, with all columns.
+
+    It is the row of least doc_id; null ids come last, so a group of such rows keeps one, too.  Of rows of that doc_id, the one of
+    the least hash of its text stays, and of those, the least by all columns (nulls first), so reruns agree; a column of a type without
+    order isn't looked at.  Columns may have any names.  An empty table gives no rows.
+    """
+    scratch = Scratch(spark, "simhash_one")
+    plain, name = by_place(docs)
+    doc_id, text = F.col(name["doc_id"]).cast("long"), F.col(name["text"]).cast("string")
+    rows, named = _groups(spark, plain.select(doc_id.alias("doc_id"), text.alias("text")), shingle, seed, budget, scratch)
+    of = named.select(F.col("fp").alias("_fp"), "component")
+    first = rows.join(of, F.col("fp") == F.col("_fp")).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("w"))
+    first = scratch.table(first.select(F.coalesce("w.doc_id", F.lit(0)).alias("w_id"), F.col("w.none").alias("w_none"), F.col("w.tie").alias("w_tie")), "first")
+    keyed = plain.select("*", F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"), F.xxhash64(text).alias("tie"))
+    kept = keyed.join(first, (F.col("id") == F.col("w_id")) & (F.col("none") == F.col("w_none")) & (F.col("tie") == F.col("w_tie")), "left_semi")
+    ordered = [c for c, t in plain.dtypes if not t.startswith(("map", "variant")) and "map<" not in t]
+    by = Window.partitionBy("id", "none", "tie").orderBy(*ordered)
+    return kept.withColumn("nth", F.row_number().over(by)).where("nth = 1").select(*plain.columns).toDF(*docs.columns)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by 4-word shingles, linked at 4 differing bits or fewer."""
     found = near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))

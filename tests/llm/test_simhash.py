@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import numpy as np
 from xxhash import xxh64_intdigest
 
@@ -90,6 +92,40 @@ def test_hot_group_is_cut_into_blocks(spark, monkeypatch):
     assert cc == {v: values[w] for v, w in zip(values, want) if want.count(w) > 1}
 
 
+def test_spans_grow_with_the_table(spark):
+    from relengine.llm import simhash
+
+    for n, choices, bits in ((10, 5, 12), (10**7, 5, 12), (10**10, 15, 21), (10**13, 70, 32)):
+        masks = [m & (1 << 64) - 1 for m in simhash.span_masks(n, 4, 4096)]
+        assert len(masks) == choices and all(bits - 2 <= m.bit_count() <= bits + 2 for m in masks)
+        rng = random.Random(n)
+        for _ in range(200):
+            differ = sum({1 << rng.randrange(64) for _ in range(4)})
+            assert any(m & differ == 0 for m in masks)
+
+
+@pytest.mark.parametrize("spans", [6, 8])
+def test_more_spans_find_the_same(spark, monkeypatch, spans):
+    from relengine.llm import simhash
+    from relengine.llm.common import Scratch, components
+
+    monkeypatch.setattr(simhash, "span_masks", lambda n, budget, block, real=simhash.span_masks: real({6: 10**10, 8: 10**13}[spans], budget, 4096))
+    rng = random.Random(spans)
+    values = []
+    for _ in range(40):
+        v = rng.getrandbits(64)
+        values += [v, v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)), v ^ sum(1 << b for b in rng.sample(range(64), 5))]
+    values = sorted(set(values))
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
+    s = Scratch(spark, "t")
+    cc = {r.node & (1 << 64) - 1: r.component for r in components(simhash.hamming_links(spark.createDataFrame(signed, "fp long"), s, 4), s).collect()}
+    want = slow_components(values)
+    groups = {}
+    for v, c in cc.items():
+        groups.setdefault(c, set()).add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(v for v, w in zip(values, want) if w == g) for g in set(want) if want.count(g) > 1)
+
+
 def test_empty_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(spark, empty).count() == 0
