@@ -17,6 +17,7 @@ from .common import Scratch
 from .warc import open_fs
 
 MINIMISER = 8  # words of a minimiser
+LEVELS = 5  # of splitting a large bucket: by minimisers of 16, 24, 32 and 40 words, then window by window
 CHUNK = 2 << 20  # bytes of text that are cut into windows at a time
 MEMO = 200_000  # words whose hashes a worker keeps
 
@@ -35,9 +36,9 @@ class WordHashes(dict):
         return h
 
 
-def minimisers(h: np.ndarray, window: int) -> np.ndarray:
-    """For each window of ``window`` word hashes, the least hash of the groups of MINIMISER words in it (of all its words, if it has fewer)."""
-    m = min(MINIMISER, window)
+def minimisers(h: np.ndarray, window: int, size: int = MINIMISER) -> np.ndarray:
+    """For each window of ``window`` word hashes, the least hash of the groups of ``size`` words in it (of all its words, if it has fewer)."""
+    m = min(size, window)
     g = np.zeros(len(h) - m + 1, np.uint64)
     for j in range(m):
         g = g * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(g)]
@@ -100,7 +101,7 @@ def _texts(path: str, more: tuple[str, ...] = ()) -> Iterator[tuple]:
     """(row, doc_id, text, *more) of a staged file, in order of row."""
     fs, name = open_fs(path)
     with fs.open_input_file(name) as f:
-        for b in pq.ParquetFile(f).iter_batches(batch_size=256, columns=(names := ["row", "doc_id", "text", *more])):
+        for b in pq.ParquetFile(f).iter_batches(batch_size=64, columns=(names := ["row", "doc_id", "text", *more])):
             yield from zip(*(b.column(n).to_pylist() for n in names))
 
 
@@ -129,10 +130,10 @@ def _fetch(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
         texts, words, current = _texts(path), [], None
         for _, row, start, n, low, s1, s2, least in group:
             if row != current:
-                for current, _, text in texts:
-                    if current == row:
-                        words = text.encode("utf-8", "surrogatepass").split()
-                        break
+                text = next((t for r, _, t in texts if r == row), None)
+                if text is None:
+                    raise ValueError(f"{path}: no row {row}")
+                current, words = row, text.encode("utf-8", "surrogatepass").split()
             string = b" ".join(words[start : start + n + window - 1])
             out.append((low, s1, s2, least, string))
             held += len(string)
@@ -171,7 +172,7 @@ def least_by_window(strings: list[bytes], least: list[int], window: int) -> list
 def _buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     out = []
     for _, group in _runs(batches, "low"):
-        rows = list(group)  # at most ``hot`` packed strings
+        rows = list(group)  # a bucket's packed strings, of which there are at most ``most``
         found = least_by_window([r[4] for r in rows], [r[3] for r in rows], window)
         out += [(r[1], r[2], lows) for r, lows in zip(rows, found) if any(x != r[3] for x in lows)]
         if len(out) >= 2000:
@@ -185,18 +186,56 @@ def _lows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["s1", "s2", "lows"])
 
 
-def _explode(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Windows of hot buckets on their own, as 128-bit digests: rows (s1, s2, at, w1, w2, least)."""
+def _split(batches: Iterator[pa.RecordBatch], window: int, level: int) -> Iterator[pa.RecordBatch]:
+    """Packed strings of large buckets cut again: rows (p1, p2, at, n, low, s1, s2, least, string), by the string they were in.
+
+    Windows of one bucket that have the same minimiser of more words than before stay together as one string of a smaller
+    bucket; at the last level, each window is a string and a bucket of its own.
+    """
     from xxhash import xxh3_128_digest
 
+    hashes, size = WordHashes(), MINIMISER * (level + 1)
+    names, types = ["p1", "p2", "at", "n", "low", "s1", "s2", "least", "string"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     for b in batches:
-        for _, s1, s2, least, string in zip(*(c.to_pylist() for c in b.columns)):
+        out = []
+        for low, p1, p2, least, string in zip(*(c.to_pylist() for c in b.columns)):
             words = string.split()
             n = len(words) - window + 1
-            ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-            starts = [0, *ends]
-            d = np.frombuffer(b"".join(xxh3_128_digest(string[starts[i] : ends[i + window - 1] - 1]) for i in range(n)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s1)), pa.array(np.full(n, s2)), pa.array(np.arange(n, dtype=np.int32)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(np.full(n, least))], ["s1", "s2", "at", "w1", "w2", "least"])
+            second = minimisers(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), window, size)
+            cuts = range(1, n) if level == LEVELS else (np.flatnonzero(second[1:] != second[:-1]) + 1).tolist()
+            for x, y in zip([0, *cuts], [*cuts, n]):
+                part = b" ".join(words[x : y + window - 1])
+                s1, s2 = np.frombuffer(xxh3_128_digest(part), np.int64).tolist()
+                bucket = s1 if level == LEVELS else np.frombuffer(xxh3_128_digest(low.to_bytes(8, "little", signed=True) + second[x].tobytes()), np.int64)[0].item()
+                out.append((p1, p2, x, y - x, bucket, s1, s2, least, part))
+        for i in range(0, len(out), 5000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 5000]), types)], names)
+
+
+def lows_of_strings(strings: DataFrame, scratch: Scratch, window: int, most: int, level: int = 1) -> DataFrame:
+    """(s1, s2, lows) of packed ``strings`` (low, s1, s2, least, string): for each window, the least doc_id of all strings that hold it.
+
+    Strings whose windows all have the string's own ``least`` may be left out.  Buckets are sorted whole; one of over ``most``
+    strings is split by longer and longer minimisers before, which leaves equal windows in one bucket, and equal strings are one again.
+    """
+    large = scratch.table(strings.groupBy("low").agg(F.count("*").alias("n")).where(F.col("n") > most).select("low"), f"large_{level}")
+    plain = strings.join(large, "low", "left_anti").repartition("low").sortWithinPartitions("low")
+    found = plain.mapInArrow(lambda b: _buckets(b, window), "s1 long, s2 long, lows array<long>")
+    if large.isEmpty():
+        return found
+    found = scratch.table(found, f"found_{level}")
+    cut = strings.join(large, "low", "left_semi").mapInArrow(lambda b: _split(b, window, level), "p1 long, p2 long, at int, n int, low long, s1 long, s2 long, least long, string binary")
+    cut = scratch.table(cut, f"cut_{level}")
+    parts = cut.groupBy("s1", "s2").agg(F.min("least").alias("least"), F.min("low").alias("low"), F.min("string").alias("string"))
+    parts = scratch.table(parts.select("low", "s1", "s2", "least", "string"), f"strings_{level}")
+    own = parts.select("s1", "s2", "least").join(lows_of_strings(parts, scratch, window, most, level + 1), ["s1", "s2"], "left")
+    own = scratch.table(own, f"solved_{level}")
+    back = cut.select("p1", "p2", "at", "n", "s1", "s2").join(own, ["s1", "s2"])
+    back = back.select("p1", "p2", F.struct("at", F.coalesce("lows", F.array_repeat("least", F.col("n"))).alias("lows")).alias("x"))
+    back = back.groupBy(F.col("p1").alias("s1"), F.col("p2").alias("s2")).agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["lows"])).alias("lows"))
+    back = scratch.table(found.union(back), f"lows_{level}")
+    scratch.drop(f"large_{level}", f"found_{level}", f"cut_{level}", f"strings_{level}", f"solved_{level}")
+    return back
 
 
 def kept_words(words: list[bytes], starts: list[int], window: int) -> tuple[list[bytes], int]:
@@ -235,7 +274,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, more: tuple[str, ...
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50, hot: int = 2000, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50, most: int = 500, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove words covered by a window of ``window`` words that also starts in a document of smaller doc_id.
 
     1. Texts are cut into super-k-mers: runs of windows whose least group of MINIMISER words is the same.  Only their
@@ -243,15 +282,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50, ho
     2. Minimisers seen in one document alone can't share a window, and drop out.  Of super-k-mers with equal words
        one stands for all, with the least doc_id.
     3. Where a minimiser has several of these, each travels to its bucket as one packed string; there, windows are
-       sorted and equal ones get their least doc_id.  Buckets of over ``hot`` strings are dealt by window instead, as
-       128-bit digests, whose minimum is combined before the shuffle.
+       sorted and equal ones get their least doc_id.  A bucket of over ``most`` strings is split by longer minimisers
+       before (:func:`lows_of_strings`).
     4. Places are joined to what was found (adaptive execution may split hot ones), and each file of texts is read
        once more with its places; texts themselves are never shuffled.
 
     Returns a row per input row: doc_id, n_words, n_removed, kept_sha256, kept (the text; unchanged where nothing was
     removed, else its kept words joined by one space), and columns named in ``carry``, of plain types, as ``c_`` + name.  Null texts have no words and a null
     ``kept``; rows of null doc_id neither lose words nor make others lose them; rows of equal doc_id don't affect each
-    other; an empty table gives no rows; further columns are ignored.
+    other; an empty table gives no rows; further columns are ignored.  A staged text that isn't found again raises an error.
     """
     scratch = Scratch(spark, "substring")
     staged = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).alias(f"c_{c}") for c in carry])
@@ -264,19 +303,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50, ho
     scratch.drop("kmers")
     reps = t.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "row", "start", "n", "low")).alias("r"))
     reps = scratch.table(reps.select("s1", "s2", F.col("r.doc_id").alias("least"), "r.row", "r.start", "r.n", "r.low"), "reps")
-    several = scratch.table(reps.groupBy("low").agg(F.count("*").alias("strings"), F.min("least").alias("a"), F.max("least").alias("z")).where("strings > 1 and a < z").select("low", (F.col("strings") > hot).alias("hot")), "several")
+    several = scratch.table(reps.groupBy("low").agg(F.count("*").alias("strings"), F.min("least").alias("a"), F.max("least").alias("z")).where("strings > 1 and a < z").select("low"), "several")
     asked = reps.join(several, "low").withColumn("file", F.shiftright("row", 33)).join(files, "file")
     asked = asked.select("path", "row", "start", "n", "low", "s1", "s2", "least").repartition("path").sortWithinPartitions("path", "row")
     strings = scratch.table(asked.mapInArrow(lambda b: _fetch(b, window), "low long, s1 long, s2 long, least long, string binary"), "strings")
-    hot_lows = scratch.table(several.where("hot").select("low"), "hot")
-    plain = strings.join(hot_lows, "low", "left_anti").repartition("low").sortWithinPartitions("low")
-    found = plain.mapInArrow(lambda b: _buckets(b, window), "s1 long, s2 long, lows array<long>")
-    wins = scratch.table(strings.join(hot_lows, "low", "left_semi").mapInArrow(lambda b: _explode(b, window), "s1 long, s2 long, at int, w1 long, w2 long, least long"), "windows")
-    low = scratch.table(wins.groupBy("w1", "w2").agg(F.min("least").alias("lowest")), "window_lows")
-    back = wins.join(low, ["w1", "w2"]).groupBy("s1", "s2").agg(F.array_sort(F.collect_list(F.struct("at", "lowest"))).alias("x")).select("s1", "s2", F.col("x.lowest").alias("lows"))
-    found = scratch.table(found.union(back), "found")
-    scratch.drop("strings", "windows", "window_lows")
+    found = scratch.table(lows_of_strings(strings, scratch, window, most), "found")
     reps = scratch.table(reps.select("s1", "s2", "least").join(found, ["s1", "s2"], "left"), "result")
+    scratch.drop("several", "strings", "found", "lows_1", "large_1", "reps")
     every = F.sequence(F.lit(0), F.col("n") - 1)
     at = F.when(F.col("lows").isNull(), every).otherwise(F.filter(every, lambda i: F.get("lows", i) < F.col("doc_id")))
     hits = t.join(reps, ["s1", "s2"]).where(F.col("lows").isNotNull() | (F.col("least") < F.col("doc_id")))
