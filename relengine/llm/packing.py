@@ -114,8 +114,8 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_
         words, end = WordIds(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = (words.of(text) if text else b"") + end
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):  # texts one at a time, as a batch may hold many bytes
+                ids = words.of(text.as_py() or "") + end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))

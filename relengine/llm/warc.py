@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import posixpath
 import re
 import uuid
@@ -17,20 +18,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .zipread import data_at, members, read_at
+from .zipread import Member, data_at, members, read_at
 
 DATE = "1970-01-01T00:00:00Z"  # pages carry none; a fixed one keeps archives reproducible
-ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+ARCHIVES, INDEXES = "archive/", "indexes/"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
 def open_fs(path: str):
-    """The file system of a path and the path in it; a bare path is local."""
+    """The file system of a whole URI and the path in it."""
     from pyarrow import fs
 
-    if re.match(r"[a-z][a-z0-9+.-]*:/", path):
-        return fs.FileSystem.from_uri(re.sub(r"^file:/(?!//)", "file:///", path))
-    return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!//)", "file:///", path))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as a whole URI, as Spark reads it: one without a scheme is of Hadoop's default file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 def record(page_id: int | None, url: str | None, digest: str, n: int, refers_to: int | None, payload: bytes | None) -> bytes:
@@ -69,7 +75,8 @@ class Packager:
         if self.warc is None:
             self.warc, self.index = io.BytesIO(), []
         member = gzip.compress(raw, 6, mtime=0)
-        self.index.append(f"{page_id} {self.warc.tell()} {len(member)}")
+        where = {"id": page_id, "filename": posixpath.basename(ARCHIVE), "offset": str(self.warc.tell()), "length": str(len(member))}
+        self.index.append(f"urn:page:{page_id} {re.sub('[^0-9]', '', DATE)} {json.dumps(where)}")
         self.warc.write(member)
         if self.warc.tell() >= self.most:
             yield self.close()
@@ -91,6 +98,38 @@ def base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
+def located(f, found: list[Member]) -> Iterator[tuple[int, int, int, int]]:
+    """(where its archive begins in the package, the archive's size, offset, length) of each record that the indexes of a package list.
+
+    Archives are the members under ARCHIVES, by their names there; indexes, which may be gzipped, those under INDEXES.
+    """
+    archives = {m.name.removeprefix(ARCHIVES): (data_at(f, m), m.size) for m in found if m.name.startswith(ARCHIVES) and not m.name.endswith("/")}
+    for m in found:
+        if not m.name.startswith(INDEXES) or m.name.endswith("/"):
+            continue
+        raw = read_at(f, data_at(f, m), m.size)
+        for name, at, n in index_lines((gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode()):
+            if name not in archives and len(archives) > 1 or not archives:
+                raise ValueError(f"{m.name}: no archive {name}")
+            yield *(archives[name] if name in archives else next(iter(archives.values()))), at, n
+
+
+def index_lines(text: str) -> Iterator[tuple[str, int, int]]:
+    """(archive, offset, length) of each line: CDXJ (key, time, JSON object), or CDX with a header of field letters."""
+    letters: list[str] = []
+    for line in text.splitlines():
+        if line.lstrip().startswith("CDX "):
+            letters = line.split()[1:]  # fixed by the format: S is a record's compressed size, V its offset, g its file
+        elif "{" in line:
+            entry = json.loads(line[line.index("{") :])
+            yield str(entry.get("filename", "")), int(entry["offset"]), int(entry["length"])
+        elif line.strip() and not line.startswith("!"):
+            entry = dict(zip(letters, line.split()))
+            if not {"S", "V"} <= entry.keys():
+                raise ValueError(f"no place in index line {line[:80]!r}")
+            yield entry.get("g", ""), int(entry["V"]), int(entry["S"])
+
+
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, scratch: Scratch, package_bytes: int = 32 << 20) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html) to ZIP packages in ``folder``; returns the manifest (path, n_records).
 
@@ -101,20 +140,23 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, scratch:
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select("page_id", "url", payload.alias("payload")).select("*", F.sha1("payload").alias("digest"), F.length("payload").cast("long").alias("n"))
-    # Only payloads that more than one row has are kept here; the page's bytes never take part in this shuffle.
+    # Digests are grouped without the pages' bytes, and only those that more than one row has are kept.  The join with them is by broadcast
+    # where Spark finds them small enough; else pages are shuffled by digest, where adaptive execution splits a hot one.
     shared = p.groupBy("digest", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     shared = scratch.table(shared, "shared")
     p = p.join(shared.withColumnsRenamed({"digest": "_d", "n": "_n"}), (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left")
     revisit = F.coalesce(F.col("page_id") != F.col("last"), F.col("last").isNotNull())
     p = p.select("page_id", "url", "digest", "n", F.when(revisit, F.col("last")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"))
 
+    folder = qualified(spark, folder)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Packager(folder, package_bytes)
 
         def done() -> Iterator[tuple[str, int]]:
             for b in batches:
-                for i, url, digest, n, refers, data in zip(*(c.to_pylist() for c in b.columns)):
-                    yield from out.add(record(i, url, base32(digest), n, refers, data), i)
+                for i, url, digest, n, refers, data in zip(*(c.to_pylist() for c in b.columns[:-1]), b.columns[-1]):  # payloads one at a time
+                    yield from out.add(record(i, url, base32(digest), n, refers, data.as_py()), i)
             if out.warc is not None:
                 yield out.close()
 
@@ -124,11 +166,19 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, scratch:
     return scratch.table(p.mapInArrow(write, "path string, n_records long"), "manifest")
 
 
+def page_of(name: str | None) -> int | None:
+    """The page_id in a record's name; None for a null one and for names that weren't given here."""
+    m = re.fullmatch(r"<?urn:page:(-?\d+)>?", name or "")
+    return int(m[1]) if m else None
+
+
 def read_archives(manifest: DataFrame) -> DataFrame:
     """Records of the packages named by ``manifest`` (path): page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
-    Each package's end records and directory are parsed, its index member read, and every record fetched by its range.
-    Payloads are checked against their digests.  A package that isn't whole raises an error.
+    Each package's end records and directory are parsed, its stored index members read, and every record that they tell of fetched by its
+    range from the stored archive member of that name.  Payloads are checked against their digests.  A package that isn't whole, or
+    an index line without a place, raises an error.  Records other than responses and revisits are passed over; those
+    that weren't written here have no page_id.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,19 +187,19 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 fs, name = open_fs(path)
                 rows, held = [], 0
                 with fs.open_input_file(name) as f:
-                    there = {m.name: m for m in members(f, f.size())}
-                    base = data_at(f, there[ARCHIVE])
-                    index = read_at(f, data_at(f, there[INDEX]), there[INDEX].size).decode()
-                    for line in index.splitlines():
-                        _, at, n = line.split(" ")
-                        fields, payload = parse(gzip.decompress(read_at(f, base + int(at), int(n))))
-                        digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                        response = fields["warc-type"] == "response"
-                        if response and base32(hashlib.sha1(payload).hexdigest()) != digest:
+                    for base, size, at, n in located(f, members(f, f.size())):
+                        if at + n > size:
+                            raise ValueError(f"{path}: a record ends beyond its archive")
+                        fields, payload = parse(gzip.decompress(read_at(f, base + at, n)))
+                        if fields["warc-type"] not in ("response", "revisit"):
+                            continue
+                        response, actual = fields["warc-type"] == "response", base32(hashlib.sha1(payload).hexdigest())
+                        digest = fields.get("warc-payload-digest", "sha1:" + actual).removeprefix("sha1:")
+                        if response and actual != digest:
                             raise ValueError(f"{path}: payload differs from its digest")
-                        number = lambda k: int(x) if (x := fields.get(k, "None").strip("<>").removeprefix("urn:page:")) != "None" else None
                         url = fields["warc-target-uri"]
-                        rows.append((number("warc-record-id"), None if url.startswith("urn:page:") else url, int(fields["x-payload-length"]), digest, fields["warc-type"], number("warc-refers-to"), payload if response else None))
+                        n_bytes = int(fields.get("x-payload-length", len(payload)))
+                        rows.append((page_of(fields.get("warc-record-id")), None if url.startswith("urn:page:") else url, n_bytes, digest, fields["warc-type"], page_of(fields.get("warc-refers-to")), payload if response else None))
                         if (held := held + len(payload)) > 8 << 20 or len(rows) >= 2000:
                             yield to_batch(rows)
                             rows, held = [], 0
