@@ -61,6 +61,46 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, (r.asDict()["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()))) == sorted(map(str, ids["pack"]))
 
 
+CLASHING = ["_first", "_toxicity", "_null", "_cut", "_epochs", "row", "key", "_words", "_own", "score", "kept", "own", "words", "epochs", "c0", "c1", "id", "tie", "nth", "a.b", "component_id"]
+
+
+def test_clashing_names(spark, tmp_path):
+    """Each stage keeps all columns and their values, whatever their names."""
+    tables(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id is not null")
+    docs = docs.selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in CLASHING])
+    docs.write.parquet(f"{tmp_path}/wide")
+    docs = spark.read.parquet(f"{tmp_path}/wide")
+    columns = docs.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/out{i}")
+        docs = spark.read.parquet(f"{tmp_path}/out{i}")
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in CLASHING)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= len({r["doc_id"] for r in rows})
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "pack" or out.columns == docs.columns)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_of_one_doc_id_and_of_none(spark, tmp_path):
+    """Groups, not ids, decide which rows stay, and the choice doesn't hang on the order of the rows."""
+    from relengine.llm.simhash import one_of_each
+
+    rows = [(1, "a b c d e f", "x"), (1, "q r s t u v w", "x"), (1, "a b c d e f", "w"), (None, "a b c d e f", "n"), (None, "only null here now", "n"), (None, "only null here now", "m"), (2, "q r s t u v w", "x"), (3, None, "x"), (4, "", "x")]
+    got = [sorted(map(tuple, one_of_each(spark, spark.createDataFrame(r, "doc_id long, text string, more string").repartition(2)).collect()), key=str) for r in (rows, rows[::-1])]
+    assert got[0] == got[1] == sorted([(1, "a b c d e f", "w"), (1, "q r s t u v w", "x"), (3, None, "x"), (None, "only null here now", "m")], key=str)
+
+
 def test_all_are_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(SQL) < set(QUERIES)
     assert os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py"
