@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from xxhash import xxh3_128_hexdigest
 
 from .common import Scratch
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[!?/a-zA-Z][^>]*>""", re.S)
+TAG = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>"'<=]*)([^>"'<]*(?:"[^"<>]*"[^>"'<]*)*)>""")  # no sign in a value can be mistaken
+DELIMITER = re.compile(r"""[>"']""")
 TELLING = re.compile("class|id|role|hidden", re.I)
-DEPTH = 60  # steps of a path; elements below share their ancestor's, so that paths stay short
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 #: Fixed values of HTML: elements without content, with raw text, and those that stand as blocks of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,20 +45,63 @@ PARTS = re.compile(
     r"comment\w*|replies|reply|disqus|discussion|pagination|pager|copyright|skip)(?:$|[\s_-])", re.I
 )
 LAYOUT = re.compile(r"(?:^|\s)(?:has|no|not|with|without|hide)[_-]\S*", re.I)
+#: Within an article, a name marks a part only if the rest of it tells of nothing, as in share-buttons but not in share-price ...
+PLAIN_WORDS = frozenset(
+    "area articles bar block body bottom box btn button buttons col column container content count feed form foot footer group head header holder icon icons inner item items left link links "
+    "list main media message module more outer page panel post posts reader region right row section site slot stories text thread title tool tools top unit user widget wrap wrapper".split()
+)
+#: ... and a paragraph is only marked by names that no text of an article has.
+NEVER_TEXT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|newsletter|subscri\w*|signup|copyright)(?:$|[\s_-])", re.I)
 #: Elements that may stand in a head; any other start tag, and text, ends an open one.
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
+def _rules() -> tuple[list[tuple[frozenset, frozenset, bool]], dict[str, int]]:
+    """What start tags close: (names, names that end the search, whether all or the nearest), and the place of each tag's rule."""
+    rules: list[tuple[frozenset, frozenset, bool]] = []
+    of = {}
+    for name in (*CLOSES, *sorted(CLOSE_P - CLOSES.keys())):
+        shut, within = CLOSES.get(name, ((), ("button", "table", "td", "th", "object")))
+        rule = (frozenset((*shut, "p") if name in CLOSE_P else shut), frozenset(within), name in CLOSES)
+        if rule not in rules:
+            rules.append(rule)
+        of[name] = rules.index(rule)
+    return rules, of
+
+
+RULES, RULE_OF = _rules()
+TOUCHED = frozenset().union(*(shut | within for shut, within, _ in RULES))
+
+
 class Element:
-    __slots__ = ("article", "chars", "depth", "lifted", "mark", "name", "off", "part", "path", "up")
+    """An open or closed element: what is known of it by its own tag and its ancestors', so that nobody climbs."""
 
-    def __init__(self, name: str, path: str, up: Element | None, off: bool, marked: bool = False, part: bool = False):
-        self.name, self.path, self.up, self.off, self.chars = name, path, up, off, 0
-        self.depth = up.depth + 1 if up is not None else 0
-        self.article = self if name in ("article", "main") else up.article if up is not None else None
-        self.mark = self if marked else up.mark if up is not None else None  # the nearest marked element
+    __slots__ = ("article", "block", "chars", "depth", "heading", "lifted", "link", "mark", "name", "off", "order", "part", "path", "scopes", "up")
+
+    def __init__(self, name: str, path: str, up: Element | None, order: int, off: bool, marked: bool = False, part: bool = False):
+        self.name, self.path, self.up, self.order, self.off, self.chars = name, path, up, order, off, 0
         self.part, self.lifted = part, False
+        if up is None:
+            self.depth, self.article, self.mark, self.link, self.heading, self.block, self.scopes = 0, None, None, False, False, self, (0,) * len(RULES)
+            return
+        inline = name not in BLOCK
+        self.depth = up.depth + 1
+        self.article = self if name in ("article", "main") else up.article
+        self.mark = self if marked else up.mark  # the nearest marked element
+        self.link = name == "a" or inline and up.link  # inside a link, or an h1, with no block between
+        self.heading = name == "h1" or inline and up.heading
+        self.block = up.block if inline else self
+
+    def opened(self, place: int) -> None:
+        """Note, for each of RULES, the place on the stack of what such a tag would close; 0 is nothing."""
+        held = self.up.scopes
+        if self.name in TOUCHED:
+            held = tuple(
+                0 if self.name in within else x if self.name not in shut or every and x else place
+                for x, (shut, within, every) in zip(held, RULES)
+            )
+        self.scopes = held
 
 
 def step(name: str, attributes: dict[str, str]) -> str:
@@ -66,226 +112,321 @@ def step(name: str, attributes: dict[str, str]) -> str:
     return ".".join([name, *classes])
 
 
-def parsed(html: str) -> Iterator[tuple[Element | None, str, bool]]:
-    """(element, text, block ends here) in page order.  Text is raw; it is decoded when its block is whole."""
-    root = Element("", "", None, False)
-    at, stack, pos, n = root, [root], 0, len(html)
-    while True:
-        m = TOKEN.search(html, pos)
-        if m is None:
-            if pos < n:
-                yield outside_head(stack, at, html[pos:]), html[pos:], False
-            return
-        if m.start() > pos:
-            at = outside_head(stack, at, html[pos : m.start()])
-            yield at, html[pos : m.start()], False
-        pos = m.end()
-        name = (m[2] or "").lower()
+def below(path: str, part: str) -> str:
+    """A generalised path is the digest of its parent's and its own step, so that deep ones aren't longer."""
+    return xxh3_128_hexdigest(f"{path}>{part}".encode("utf-8", "surrogatepass"))
+
+
+def path_of(steps: str) -> str:
+    """The path of steps from the outermost on, as ``html>body>div.post``."""
+    path = ""
+    for part in steps.split(">"):
+        path = below(path, part)
+    return path
+
+
+class Tags:
+    """Comments, declarations and tags of a page, from left to right; each character is read a fixed number of times."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.quotes = html, html.rfind(">"), True
+
+    def end(self, at: int) -> int:
+        """The ``>`` that ends a tag whose name ends at ``at``; those in quoted values don't.  -1: there is none.
+
+        Where a quote is never closed, quotes mean nothing from there on.
+        """
+        html, i = self.html, at
+        while self.quotes:
+            m = DELIMITER.search(html, i)
+            if m is not None and m[0] == ">":
+                return m.start()
+            if m is not None:
+                before = m.start() - 1
+                while before > at and html[before].isspace():
+                    before -= 1
+                i = m.end()
+                if html[before] == "=":
+                    i = html.find(m[0], i) + 1
+            if m is None or not i:
+                self.quotes = False
+        return html.find(">", at)
+
+    def next(self, pos: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether it closes, attributes) of the next one from ``pos``; comments and declarations have no name."""
+        html = self.html
+        while (m := TAG.search(html, pos)) is not None:
+            start = m.start()
+            if m[0] == "<!--":
+                end = html.find("-->", start + 2)
+                return start, len(html) if end < 0 else end + 3, "", False, ""
+            if start > self.last:
+                return None
+            if m[0] in ("<!", "<?"):
+                return start, html.find(">", start) + 1, "", False, ""
+            if (plain := PLAIN_TAG.match(html, start)) is not None:
+                return start, plain.end(), plain[2].lower(), bool(plain[1]), plain[3]
+            name = NAME.match(html, m.end() - 1)
+            end = self.end(name.end())
+            if end < 0:
+                return None
+            return start, end + 1, name[0].lower(), m[0][1] == "/", html[name.end() : end]
+        return None
+
+
+def is_marked(name: str, attributes: dict[str, str], in_article: bool) -> tuple[bool, bool]:
+    """Whether class, id or role mark an element as boilerplate, and whether as a part that may hold articles of its own."""
+    words = LAYOUT.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
+    part = bool(PARTS.search(words))
+    if name in ("body", "html", "main", "article"):
+        return False, part
+    if attributes.get("role", "").lower() in ROLES:
+        return True, part
+    if not MARKS.search(words):
+        return False, part
+    if not in_article:
+        return True, part
+    if name == "p":
+        return bool(NEVER_TEXT.search(words)), part
+    for word in words.split():
+        if MARKS.search(word):
+            rest = [x for x in re.split(r"[\W_\d]+", word.lower()) if len(x) > 1 and x not in PLAIN_WORDS and not MARKS.search(x)]
+            if not rest:
+                return True, part
+    return False, part
+
+
+def parsed(html: str) -> list[list[tuple[Element, str]]]:
+    """The decoded text nodes of each block in page order, with the elements they stand in; not those of NEVER and hidden elements."""
+    root = Element("", "", None, 0, False)
+    stack, opened, made = [root], Counter(), 0
+    found: list[list[tuple[Element, str]]] = [[]]
+    tags, pos, n = Tags(html), 0, len(html)
+
+    def shut(place: int) -> None:
+        for e in stack[place:]:
+            opened[e.name] -= 1
+        del stack[place:]
+
+    def text(raw: str) -> None:
+        if stack[-1].name == "head" and not raw.isspace():
+            shut(len(stack) - 1)
+        if not stack[-1].off:
+            found[-1].append((stack[-1], entities.unescape(raw) if "&" in raw else raw))
+
+    def ends() -> None:
+        if found[-1]:
+            found.append([])
+
+    while pos < n:
+        tag = tags.next(pos)
+        if tag is None:
+            text(html[pos:])
+            break
+        start, end, name, closes, attrs = tag
+        if start > pos:
+            text(html[pos:start])
+        pos = end
         if not name:
             continue
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    at = stack[-1]
-                    break
+        if closes:
+            if opened[name]:
+                place = len(stack) - 1
+                while stack[place].name != name:
+                    place -= 1
+                shut(place)
             if name in BLOCK:
-                yield at, "", True
+                ends()
             continue
-        if name not in IN_HEAD:
-            at = outside_head(stack, at)
+        if name not in IN_HEAD and stack[-1].name == "head":
+            shut(len(stack) - 1)
         if name in BLOCK:
-            yield at, "", True
+            ends()
         if name in VOID:
             continue
-        shut, within = CLOSES.get(name, ((), ()))
-        if name in CLOSE_P:
-            shut, within = (*shut, "p"), within or ("button", "table", "td", "th", "object")
-        for i in range(len(stack) - 1, 0, -1):
-            if shut and stack[i].name in shut:
-                del stack[i:]
-                if name not in CLOSES:
-                    break
-            elif stack[i].name in within if shut else True:
-                break
+        if name in RULE_OF and (place := stack[-1].scopes[RULE_OF[name]]):
+            shut(place)
         up = stack[-1]
-        attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if TELLING.search(m[3]) else {}
+        attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attrs)} if TELLING.search(attrs) else {}
         off = up.off or name in NEVER or (name == "header" and not up.article)
         marked, part = name == "form", False
         if attributes and not off:
-            words = LAYOUT.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
             off = "hidden" in attributes or attributes.get("aria-hidden") == "true"
-            if name not in ("body", "html", "main", "article"):
-                marked = marked or bool(MARKS.search(words)) or attributes.get("role", "").lower() in ROLES
-            part = bool(PARTS.search(words))
-        at = Element(name, f"{up.path}>{step(name, attributes)}" if name in BLOCK and up.depth < DEPTH else up.path, up, off, marked, part)
-        if m[3].endswith("/") and name not in BLOCK:
-            at = up
+            by_name, part = is_marked(name, attributes, up.article is not None)
+            marked = marked or by_name
+        made += 1
+        e = Element(name, below(up.path, step(name, attributes)) if name in BLOCK else up.path, up, made, off, marked, part)
+        if attrs.endswith("/") and name not in BLOCK:
             continue
-        stack.append(at)
+        e.opened(len(stack))
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, pos)
-            pos = end.end() if end else n
-            stack.pop()
-            at = up
-
-
-def outside_head(stack: list[Element], at: Element, text: str = "x") -> Element:
-    """The open element, after text or a tag that a head can't hold has ended an open head."""
-    if stack[-1].name == "head" and not text.isspace():
-        stack.pop()
-        return stack[-1]
-    return at
-
-
-def active(e: Element) -> tuple[Element | None, bool]:
-    """The outermost mark that switches ``e`` off, and whether it is the only one."""
-    top, n, m = None, 0, e.mark
-    while m is not None:
-        if not m.lifted:
-            top, n = m, n + 1
-        m = m.up.mark
-    return top, n == 1
+            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, pos)
+            pos = close.end() if close else n
+            continue
+        stack.append(e)
+        opened[name] += 1
+    return found
 
 
 def lift_marks(pieces: list[tuple[Element, str]]) -> None:
     """Lift the marks of elements that hold what the page is about, as of a wrapper whose class tells of a sidebar.
 
+    Marks are judged from the outermost on; one is judged when those around it are lifted.
     An element's mark is lifted if it holds the page's main element; if it holds an article and no text of an article is
     unmarked; if it holds two thirds of the page's text outside links, or the most while none is unmarked.  Marks of PARTS, which may
     hold comments or teasers, need an article or h1 within, more text than is unmarked, and no unmarked article.
     """
-    texts = [(e, len(t.strip())) for e, t in pieces if not inside(e, "a") and not t.isspace()]
-    links = [(e, len(t.strip())) for e, t in pieces if inside(e, "a")]
-    whole = sum(n for _, n in texts)
-    while True:
-        linked = sum(n for e, n in links if active(e)[0] is None)
-        free, free_article, held = 0, False, {}
-        for e, n in texts:
-            top, only = active(e) if e.mark is not None else (None, True)
-            home = e.article if e.article is not None and (e.article.name == "main" or not e.article.part) else None
-            if top is None:
-                free, free_article = free + n, free_article or home is not None
-                continue
-            sums = held.setdefault(top, [0, False, False, False])
-            sums[0] += n
-            if home is not None and home.depth > top.depth:
-                sums[1] = sums[1] or home.name == "main"
-                sums[2] = sums[2] or only
-            sums[3] = sums[3] or only and inside(e, "h1")
-        lifted = False
-        for m, (n, main, home, title) in held.items():
-            if m.part:
-                m.lifted = main or (home or title) and n > free and not free_article
-            else:
-                m.lifted = main or home and not free_article or n > linked and (3 * n >= 2 * whole or not free and n == max(x[0] for x in held.values()))
-            lifted = lifted or m.lifted
-        if not lifted:
-            return
-
-
-def blocks(html: str) -> Iterator[list[tuple[Element, str]]]:
-    """The pieces of raw text of each block that isn't boilerplate, with the elements they stand in."""
-    found: list[list[tuple[Element, str]]] = [[]]
-    for at, text, ends in parsed(html):
-        if ends:
-            if found[-1]:
-                found.append([])
-        elif not at.off:
-            found[-1].append((at, text))
-    if any(e.mark is not None for held in found for e, _ in held):
-        lift_marks([x for held in found for x in held])
-    for held in found:
-        if kept := [(e, t) for e, t in held if e.mark is None or active(e)[0] is None]:
-            yield kept
-
-
-def clean(raw: str) -> str:
-    """Character references decoded, white space made one space, trimmed."""
-    return " ".join((entities.unescape(raw) if "&" in raw else raw).split())
+    marks: dict[Element, list] = {}  # characters outside links and in them, and whether a main element is there, of all below
+    whole = free = linked = 0
+    free_article = False
+    direct: dict[Element, list] = {}  # the same, and whether an article and an h1 are there, of what has no other mark between
+    for e, t in pieces:
+        size = len(t.strip())
+        if not size:
+            continue
+        home = e.article if e.article is not None and (e.article.name == "main" or not e.article.part) else None
+        whole += 0 if e.link else size
+        if e.mark is None:
+            linked, free = linked + size * e.link, free + size * (not e.link)
+            free_article = free_article or home is not None and not e.link
+            continue
+        m, d = e.mark, direct.setdefault(e.mark, [0, 0, False, False, False])
+        d[0], d[1] = d[0] + size * (not e.link), d[1] + size * e.link
+        if not e.link:
+            inside = home is not None and home.depth > m.depth
+            d[2] = d[2] or inside and home.name == "main"
+            d[3], d[4] = d[3] or inside, d[4] or e.heading
+    parents: dict[Element, list[Element]] = {}
+    for m in sorted(direct, key=lambda m: m.order):  # with the marked elements around them
+        while m is not None and m not in marks:
+            marks[m] = [0, 0, False]
+            m = m.up.mark
+    for m in sorted(marks, key=lambda m: -m.order):
+        d = direct.get(m, (0, 0, False, False, False))
+        sums = marks[m]
+        sums[0], sums[1], sums[2] = sums[0] + d[0], sums[1] + d[1], sums[2] or d[2]
+        if (above := m.up.mark) is not None:
+            up = marks[above]
+            up[0], up[1] = up[0] + sums[0], up[1] + sums[1]
+            up[2] = up[2] or sums[2]
+            parents.setdefault(above, []).append(m)
+    front = [m for m in marks if m.up.mark is None]
+    while front:
+        most = max(marks[m][0] for m in front)
+        now = [m for m in front if to_lift(m, marks[m], direct.get(m), whole, free, linked, free_article, most)]
+        for m in now:
+            m.lifted = True
+            d = direct.get(m, (0, 0, False, False, False))
+            free, linked = free + d[0], linked + d[1]
+            free_article = free_article or d[3]
+        front = [x for m in now for x in parents.get(m, ())]
+
+
+def to_lift(m: Element, sums: list, own: list | None, whole: int, free: int, linked: int, free_article: bool, most: int) -> bool:
+    chars, _, main = sums
+    home, title = (own[3], own[4]) if own else (False, False)
+    if m.part:
+        return main or (home or title) and chars > free and not free_article
+    return bool(main or home and not free_article or chars > linked and (3 * chars >= 2 * whole or not free and chars == most))
 
 
 def page_blocks(html: str) -> list[tuple[Element, str, int]]:
     """(block element, text, score) of each block that isn't boilerplate by its own marks.
 
     The score is the number of characters outside links; none if most are in links, all of an h1."""
+    every = parsed(html)
+    pieces = [x for held in every for x in held]
+    if any(e.mark is not None for e, _ in pieces):
+        lift_marks(pieces)
+    switched: dict[Element, bool] = {}  # marked elements: whether one that isn't lifted is here or above
+    for m in sorted({m for e, _ in pieces for m in [e.mark] if m is not None}, key=lambda m: m.order):
+        chain = []
+        while m is not None and m not in switched:
+            chain.append(m)
+            m = m.up.mark
+        for x in reversed(chain):
+            switched[x] = not x.lifted or x.up.mark is not None and switched[x.up.mark]
     found = []
-    for pieces in blocks(html):
-        text = clean("".join(t for _, t in pieces))
+    for held in every:
+        kept = [(e, t) for e, t in held if e.mark is None or not switched[e.mark]]
+        text = " ".join("".join(t for _, t in kept).split())
         if not text:
             continue
-        linked = sum(len(t) for e, t in pieces if inside(e, "a"))
-        whole = sum(len(t) for _, t in pieces) or 1
-        e = pieces[0][0]
-        while e.up is not None and e.name not in BLOCK:
-            e = e.up
-        if e.name == "h1":
-            linked = 0  # titles often link to their page
+        whole = sum(len(t) for _, t in kept)
+        e = kept[0][0].block
+        linked = 0 if e.name == "h1" else sum(len(t) for e, t in kept if e.link)  # titles often link to their page
         found.append((e, text, 0 if 2 * linked > whole else max(1, len(text) * (whole - linked) // whole)))
     return found
 
 
-def inside(e: Element | None, name: str) -> bool:
-    while e is not None:
-        if e.name == name:
-            return True
-        if e.name in BLOCK:
-            return False
-        e = e.up
-    return False
+CONTAINERS = frozenset("article main section div td body blockquote center dd html".split())
+
+
+def ancestry(found: list[tuple[Element, str, int]]) -> list[Element]:
+    """The blocks' elements and all above them, outermost first."""
+    seen: dict[int, Element] = {}
+    for e, _, _ in found:
+        while e is not None and e.order not in seen:
+            seen[e.order] = e
+            e = e.up
+    return [seen[i] for i in sorted(seen)]
 
 
 def best_path(found: list[tuple[Element, str, int]]) -> tuple[str, int] | None:
     """The generalised path of the deepest container that holds all that scores on the page, and its score."""
-    total = 0
+    above = ancestry(found)
+    for e in above:
+        e.chars = 0
     for e, _, n in found:
-        total += n
-        while n and e is not None:
-            e.chars += n
-            e = e.up
-    e = next((e for e, _, n in found if n), None)
-    while e is not None and e.up is not None:
-        if e.chars == total and e.name in CONTAINERS:
-            return e.path, total
-        e = e.up
-    return None
-
+        e.chars += n
+    for e in reversed(above):
+        if e.up is not None:
+            e.up.chars += e.chars
+    total = sum(n for _, _, n in found)
+    best = next((e for e in reversed(above) if total and e.chars == total and e.name in CONTAINERS), None)
+    return None if best is None else (best.path, total)
 
-CONTAINERS = frozenset("article main section div td body blockquote center dd html".split())
 
+def within(found: list[tuple[Element, str, int]], path: str) -> list[bool]:
+    """Whether each block is inside a container of that path."""
+    inside: dict[int, bool] = {}
+    for e in ancestry(found):
+        inside[e.order] = e.path == path and e.name in CONTAINERS or e.up is not None and inside[e.up.order]
+    return [inside[e.order] for e, _, _ in found]
 
-def within(e: Element | None, paths: frozenset[str]) -> bool:
-    while e is not None:
-        if e.path in paths and e.name in CONTAINERS:
-            return True
-        e = e.up
-    return False
 
+def article(found: list[tuple[Element, str, int]], winners: list[tuple[str, bool]]) -> str:
+    """Text of the page's container by the winning paths (path, whether most of the host's pages voted for it).
 
-def article(found: list[tuple[Element, str, int]], winners: list[str]) -> str:
-    """Text of the containers at the first winning path that holds all that scores on the page; else at its own best path; else of all blocks."""
+    The first path counts that holds all that scores on the page; or, if most pages voted for it, at least half of that, with no title (h1)
+    outside.  Else it is the page's own best container, else all blocks.
+    """
     total = sum(n for _, _, n in found)
-    for path in winners if total else ():
-        chosen = [(t, n) for e, t, n in found if within(e, frozenset([path]))]
-        if sum(n for _, n in chosen) == total:
-            return " ".join(t for t, _ in chosen)
+    for path, by_most in winners if total else ():
+        chosen = within(found, path)
+        score = sum(n for (_, _, n), c in zip(found, chosen) if c)
+        titled = any(e.name == "h1" for (e, _, _), c in zip(found, chosen) if not c)
+        if score == total or by_most and 2 * score >= total and not titled:
+            return " ".join(t for (_, t, _), c in zip(found, chosen) if c)
     own = best_path(found)
-    return " ".join(t for e, t, _ in found if own is None or within(e, frozenset([own[0]])))
+    chosen = within(found, own[0]) if own else [True] * len(found)
+    return " ".join(t for (_, t, _), c in zip(found, chosen) if c)
 
 
-def extract(spark: SparkSession, pages: DataFrame, *, paths_per_host: int = 8, most_hosts: int = 100_000) -> DataFrame:
+def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Main text of ``pages`` (page_id, url, html).
 
     Each page's containers are scored by the characters they hold outside links and outside parts that tag, class, id or role
     mark as menus, headers, footers, sidebars, notices, adverts, forms or comments; blocks of mostly links don't score.  The path of
     tags and classes, with numbers made one, of the smallest container that holds all that scores is the page's vote.  Votes are counted
-    per host; a path that at least two pages and a twentieth of the host's voted for may win, the ``paths_per_host`` most voted are kept,
-    and each page is extracted again by the first of them that holds all that scores on it.  Pages without one are extracted by their
-    own smallest container.  So only marked parts and blocks of links are ever left out; boilerplate without marks or links stays.  Winners are broadcast only if there are at most ``most_hosts`` hosts,
-    else joined.
-
-    Returns a row per page: page_id, url, text, n_chars (code points).  A null or empty html has an empty text; pages of
-    null or unreadable url share one host; repeated rows count each; an empty table gives no rows; further columns are ignored.
+    per host; paths that at least two pages and a twentieth of the host's voted for win, so a host has at most twenty, and each page is
+    extracted again by the first of them that fits it (:func:`article`).  Pages without one are extracted by their own smallest
+    container.  So, besides marked parts and blocks of links, what lies outside the container that most pages of a host agree on is left
+    out; unmarked boilerplate within it stays.
+
+    Returns a row per page: page_id, url, text, n_chars (code points).  Character references are decoded within each text node.  A null or
+    empty html has an empty text; pages of null or unreadable url share one host; repeated rows count each; an empty table gives
+    no rows; further columns are ignored.  Reading a page takes time in proportion to its length, however malformed it is.
     """
     scratch = Scratch(spark, "html")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
@@ -301,15 +442,16 @@ def extract(spark: SparkSession, pages: DataFrame, *, paths_per_host: int = 8, m
 
     votes = p.select("host", "html").mapInArrow(vote, "host string, path string, score long").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
     votes = scratch.table(votes, "votes")
-    by_votes = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path")
-    ranked = votes.withColumn("all", F.sum("votes").over(Window.partitionBy("host"))).withColumn("rank", F.row_number().over(by_votes))
-    ranked = ranked.where((F.col("rank") <= paths_per_host) & (F.col("votes") >= 2) & (F.col("votes") * 20 >= F.col("all")))
-    winners = scratch.table(ranked.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("w")).select("host", F.col("w.path").alias("paths")), "winners")
-    p = p.join(F.broadcast(winners) if winners.limit(most_hosts + 1).count() <= most_hosts else winners, "host", "left").select("page_id", "url", "html", "paths")
+    everyone = votes.groupBy("host").agg(F.sum("votes").alias("all"))
+    won = votes.join(everyone, "host").where((F.col("votes") >= 2) & (F.col("votes") * 20 >= F.col("all")))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "path", (F.col("votes") * 2 > F.col("all")).alias("by_most"))))
+    winners = scratch.table(won.groupBy("host").agg(ranked.alias("w")).select("host", F.transform("w", lambda x: F.struct(x["path"].alias("path"), x["by_most"].alias("by_most"))).alias("paths")), "winners")
+    p = p.join(winners, "host", "left").select("page_id", "url", "html", "paths")  # broadcast if Spark finds the winners small enough
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [article(page_blocks(h), w or []) if (h := x.as_py()) else "" for x, w in zip(b.column("html"), b.column("paths").to_pylist())]
+            paths = ([(w["path"], w["by_most"]) for w in ws or []] for ws in b.column("paths").to_pylist())
+            texts = [article(page_blocks(h), w) if (h := x.as_py()) else "" for x, w in zip(b.column("html"), paths)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return p.mapInArrow(again, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")

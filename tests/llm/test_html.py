@@ -1,7 +1,10 @@
 import html as entities
 import random
+import time
 
-from relengine.llm.html import article, extract, page_blocks
+import pytest
+
+from relengine.llm.html import article, extract, page_blocks, path_of
 
 
 def text(h):
@@ -18,6 +21,55 @@ def test_small_pages():
     assert text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+@pytest.mark.parametrize("piece", ["<a ", '<a b="', "<a b='", "<a b=\"'", '<a b=">"', "<div>", "<div class=sidebar>", "<b>", "<p><table>", "<li><b>", "</x>", "<p></b>", "<!-- ", "<a b=\"><a c='>", "<article class=menu><p>x", "<ul><li>", "&am", "<"])
+def test_long_malformed_pages_take_linear_time(piece):
+    for end in ("", ">"):
+        page = "<body><p>start</p>" + piece * ((1 << 20) // len(piece)) + end
+        began = time.process_time()
+        text(page)
+        assert time.process_time() - began < 8  # seconds a MB, of which the worst takes about 3
+
+
+def test_references_are_decoded_within_a_text_node():
+    assert text("<p>&am<b>p;</b> &lt;<i>b</i>&gt; &amp;amp; &#x41;&nbsp;b") == "&amp; <b> &amp; A b"
+    assert text("<p>&am<!-- -->p; x") == "&amp; x"
+
+
+def test_names_within_an_article_that_only_look_like_marks():
+    body = "".join(f"<p>{'word ' * 20}{i}" for i in range(4))
+    kept = "<section id=related-work><h2>Related work</h2><p>as was shown</section><div class=share-price><p>rose</div><p class=comment>He said so."
+    gone = "<div class=share-buttons><p>tell it</div><div class='ad'><p>buy</div><p class=newsletter>join us<ul class=related-posts><li>teaser</ul><div class='comment-list'><p>me too</div>"
+    assert text(f"<article>{body}{kept}{gone}</article>").split()[-9:] == "Related work as was shown rose He said so.".split()
+    assert text(f"<body><div class=share-price><p>ticker</div><article>{body}</article>").split()[0] == "word"
+
+
+def test_votes_of_a_host_change_a_text(spark):
+    """Most pages hold all they say in one container; on one, an unmarked block lies outside, which its own best container would take in."""
+    long = "word " * 60
+    rows = [(i, f"http://h/{i}", f"<body><div class=story><h1>T{i}</h1><p>{long}{i}</div></body>") for i in range(6)]
+    rows.append((7, "http://h/7", f"<body><div class=story><h1>T7</h1><p>{long}7</div><div class=box><p>Meet us at the fair</div></body>"))
+    rows.append((8, "http://alone/8", rows[-1][2]))
+    got = {r.page_id: r.text for r in extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T{i} {long}{i}" for i in (*range(6), 7)} | {8: f"T7 {long}7 Meet us at the fair"}
+
+
+def test_votes_without_marks(spark, monkeypatch):
+    """With no names that mark anything, what most pages agree on still decides."""
+    import re
+
+    from relengine.llm import html
+
+    for name in ("MARKS", "PARTS", "NEVER_TEXT"):
+        monkeypatch.setattr(html, name, re.compile("(?!)"))
+    story = "word " * 50
+    rows = [(i, f"<body><div class=post><h1>T</h1><p>{story}</div><div class='sidebar'><p>{'side ' * 20}</div>") for i in range(3)]
+    rows += [(10 + i, f"<body><div class=post><h1>T</h1><p>{story}</div>") for i in range(5)]
+    votes = [html.best_path(page_blocks(h))[0] for _, h in rows]
+    most = max(set(votes), key=votes.count)
+    assert most == path_of("body>div.post")
+    assert {article(page_blocks(h), [(most, True)]) for _, h in rows} == {f"T {story}".strip()}
+
+
 def test_title_and_lead_outside_the_body_are_kept():
     body = "".join(f"<p>{'word ' * 40}{i}" for i in range(9))
     page = f"<body><div><a href='/'>All our news</a></div><article><h1>{{}}</h1><p>the lead</p><div class=body>{body}</div></article><div><a href='/2'>next one</a></div></body>"
@@ -25,7 +77,7 @@ def test_title_and_lead_outside_the_body_are_kept():
     assert got.startswith("Title the lead word") and got.endswith("word 8")
     assert text(page.format("<a href='/1'>Title</a>")) == got
     assert text(f"<body><p>before</p><blockquote>{body}</blockquote><p>after</p></body>").split()[:: 9 * 41 + 1] == ["before", "after"]
-    assert article(page_blocks(page.format("Title")), ["body>article>div.body"]) == got
+    assert article(page_blocks(page.format("Title")), [(path_of("body>article>div.body"), True)]) == got
 
 
 def test_two_templates_on_one_host(spark):
