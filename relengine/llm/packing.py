@@ -1,19 +1,22 @@
-"""Best-fit packing of tokenized documents into sequences.
+"""Bulk-synchronous best-fit packing of tokenized documents into sequences.
 
-Rounds of distributed sweeps over sorted documents and gaps are replaced by one best-fit-decreasing loop in the driver over
-the counts of the at most 4096 lengths; Spark counts the lengths, ranks pieces within one and joins them to their places.
+Documents and gaps are tables of runs: so many of one size, by rank.  A round takes the documents of the next smaller sizes, sweeps
+ranges of them and of the gaps apart, carries what is left to larger gaps and new sequences, and writes the gaps anew.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,78 +130,143 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_
     return out if keep_ids else out.drop("ids")
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit decreasing over runs: (length, first rank, pieces a sequence, first sequence, offset) of each match.
+Match = tuple[int, int, int, int, int, int]  # length, first rank, how many, pieces a sequence, first sequence, offset
 
-    Pieces and gaps are sorted and run-length coded by size, so both sides have at most ``capacity`` sizes, however many
-    pieces there are.  A round takes the longest length still to be placed: a sweep finds its successor among
-    the gaps (the smallest that it fits), ranks settle conflicts (the pieces of lowest rank go to the run's first
-    sequence, as many as it holds, and so on), the gaps shrink, and what is left over goes to the next successor.  What
-    fits nowhere opens sequences.
+
+def sweep(docs: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]], capacity: int, opened: int | None = None) -> tuple[list[Match], list, list, int | None]:
+    """Best fit of runs of documents (length, first rank, how many), longest first, into runs of gaps (size, first sequence, how many).
+
+    Each document goes to its successor, the smallest gap that holds it.  Of those that want one run of gaps, the one of
+    lowest rank gets the first sequence, which takes as many more of that length as it holds, and so on.  Documents without a successor
+    open sequences from ``opened`` on, or are left over if that is None.  Returns the matches, documents and gaps left over, and ``opened``.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, how many)
-    sizes: list[int] = []  # the keys of gaps, ascending
-    found, opened = [], 0
+    runs: dict[int, list[tuple[int, int]]] = {}
+    sizes: list[int] = []  # the keys of runs, ascending
+    found: list[Match] = []
+    left: list[tuple[int, int, int]] = []
 
     def put(gap: int, first: int, n: int) -> None:
         if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
+            if gap not in runs:
+                runs[gap] = []
                 insort(sizes, gap)
-            gaps[gap].append((first, n))
+            runs[gap].append((first, n))
 
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
+    for gap, first, n in sorted(gaps):
+        put(gap, first, n)
+    for length, rank, count in sorted(docs, key=lambda d: (-d[0], d[1])):
+        while count:
             i = bisect_left(sizes, length)
             if i == len(sizes):
-                gap, first, n = capacity, opened, -(-left // (capacity // length))
+                if opened is None:
+                    left.append((length, rank, count))
+                    break
+                gap, first, n = capacity, opened, -(-count // (capacity // length))
                 opened += n
             else:
                 gap = sizes[i]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[i]
+                first, n = runs[gap].pop()
+                if not runs[gap]:
+                    del runs[gap], sizes[i]
             each = gap // length
-            full = min(n, left // each)
+            full = min(n, count // each)
             if full:
-                found.append((length, rank, each, first, capacity - gap))
+                found.append((length, rank, full * each, each, first, capacity - gap))
                 put(gap - each * length, first, full)
-                rank, left = rank + full * each, left - full * each
-            if full < n and left:
-                found.append((length, rank, left, first + full, capacity - gap))
-                put(gap - left * length, first + full, 1)
-                rank, left, full = rank + left, 0, full + 1
+                rank, count = rank + full * each, count - full * each
+            if full < n and count:
+                found.append((length, rank, count, count, first + full, capacity - gap))
+                put(gap - count * length, first + full, 1)
+                rank, count, full = rank + count, 0, full + 1
             put(gap, first + full, n - full)
-    return found
-
-
-def pack(spark: SparkSession, docs: DataFrame, *, tokenizer: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False, buckets: int = 64) -> DataFrame:
+    return found, left, [(g, f, n) for g, held in runs.items() for f, n in held], opened
+
+
+DOC, GAP, NEXT, MATCH = range(4)
+COLUMNS = ["kind", "size", "first", "n", "each", "sequence", "offset"]  # first: of a document its rank, of a gap its sequence
+RUNS = ", ".join(f"{c} long" for c in COLUMNS)
+
+
+def swept(g: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """One range's runs, or all that ranges carried on; only the latter have a row NEXT, the number of sequences there are."""
+    rows = list(g[COLUMNS].itertuples(index=False, name=None))
+    of = lambda kind: [r[1:4] for r in rows if r[0] == kind]
+    opened = next((r[2] for r in rows if r[0] == NEXT), None)
+    found, docs, gaps, opened = sweep(of(DOC), of(GAP), capacity, opened)
+    out = [r for r in rows if r[0] == MATCH]
+    out += [(MATCH, length, rank, n, each, sequence, offset) for length, rank, n, each, sequence, offset in found]
+    out += [(DOC, *d, 0, 0, 0) for d in docs] + [(GAP, *x, 0, 0, 0) for x in gaps]
+    if opened is not None:
+        out.append((NEXT, 0, opened, 0, 0, 0, 0))
+    return pd.DataFrame(out, columns=COLUMNS, dtype="int64")
+
+
+def ranges(capacity: int) -> list[tuple[int, int]]:
+    """Sizes (over, up to) of each round, from the largest: a gap that takes a document of its range has a remainder below the range."""
+    out, high = [], capacity
+    while high:
+        out.append((high // 2, high))
+        high //= 2
+    return out
+
+
+def matched(lengths: DataFrame, scratch: Scratch, capacity: int, parts: int = 8) -> DataFrame:
+    """MATCH runs that give each document of ``lengths`` (length, n) a place, by rounds; as many sequences as best fit row by row opens.
+
+    A round takes the documents of one of :func:`ranges`, when all larger ones have places.
+    1. Documents and gaps of the round's sizes are dealt to ``parts`` ranges of sizes, each swept by a task of its own.  That is exact: a
+       document's successor is in its own range while that has a gap of its size or more, and remainders fall below the round's sizes.
+    2. Documents that are left over meet the gaps left over in higher ranges, larger gaps, and new sequences.
+    3. Matches and the gaps as they are now are written, and the next round begins.
+    Tables of runs have a row for each length, and for each match, whose number grows with ``capacity`` and not with documents.
+    """
+    columns = lambda **kw: [kw.get(c, F.lit(0)).cast("long").alias(c) for c in COLUMNS]
+    state = lengths.select(columns(kind=F.lit(DOC), size=F.col("length"), n=F.col("n")))
+    state = state.union(lengths.sparkSession.range(1).select(columns(kind=F.lit(NEXT))))
+    state = scratch.table(state, "round_0")
+    there = {r["k"] for r in lengths.select(F.floor(F.log2(F.lit(capacity) / F.col("length"))).alias("k")).distinct().collect()}
+    done = []
+    for k, (low, high) in enumerate(ranges(capacity)):
+        if not {k - 1, k, k + 1} & there:  # no document of these sizes, roundings included
+            continue
+        live = state.where(F.col("kind") != MATCH)
+        here = (F.col("kind").isin(DOC, GAP)) & (F.col("size") > low) & (F.col("size") <= high)
+        part = F.floor((F.col("size") - low - 1) * parts / (high - low)).cast("int")
+        run = lambda g: swept(g, capacity)
+        local = live.where(here).groupBy(part.alias("part")).applyInPandas(run, RUNS)
+        above = live.where((F.col("kind") == NEXT) | (F.col("kind") == GAP) & (F.col("size") > high))
+        carried = local.union(above).groupBy().applyInPandas(run, RUNS)
+        below = live.where(F.col("kind").isin(DOC, GAP) & (F.col("size") <= low))
+        state = scratch.table(carried.union(below), f"round_{k + 1}")
+        done.append(state.where(F.col("kind") == MATCH))
+    return reduce(DataFrame.union, done) if done else state.where(F.col("kind") == MATCH)
+
+
+def pack(spark: SparkSession, docs: DataFrame, *, tokenizer: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False, bucket_rows: int = 100_000) -> DataFrame:
     """Pack all ``docs`` (doc_id, text) into as few sequences of at most ``capacity`` ids as best fit gives.
 
     A document is its ids by the tokenizer file, no special ones added, then ``end_id``; a longer one is cut into pieces of ``capacity``
-    ids, the last may be shorter.  Pieces are counted by length, which gives at most ``capacity`` runs; :func:`best_fit`
-    matches runs to gaps, and each piece takes its place by its rank among those of its length (a hash of doc_id and piece
-    orders them; ranks are prefix counts over ``buckets`` ranges of the hash, so no length is in one task).
+    ids, the last may be shorter.  Pieces are counted by length, :func:`matched` gives runs of each length their places in
+    bulk-synchronous rounds, and a piece takes the place of its rank among those of its length (a hash of its row orders
+    them; ranks are prefix counts over ranges of the hash of about ``bucket_rows`` rows, so no length is in one task).
 
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids (little-endian unsigned 32-bit, binary)
     if ``keep_ids``.  Null and empty texts are ``end_id`` alone; repeated rows are packed each; null doc_ids are kept;
     an empty table gives no rows; further columns are ignored.
     """
     scratch = Scratch(spark, "pack")
-    pieces = tokenized(docs, tokenizer, capacity, end_id, keep_ids)
-    key = F.xxhash64("doc_id", "piece", "ids_crc32")
-    pieces = scratch.table(pieces.select("*", key.alias("key"), F.pmod(F.shiftright("key", 40), F.lit(buckets)).cast("int").alias("bucket"), F.lit(1).cast("long").alias("one")), "pieces")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    by_length: dict[int, list[tuple]] = {}
-    for length, *run in best_fit(counts, capacity):
-        by_length.setdefault(length, []).append(tuple(run))
-    ranked = prefix_before(pieces, scratch, ["length"], "bucket", ["key", "doc_id", "piece"], "one", "rank")
+    pieces = tokenized(docs, tokenizer, capacity, end_id, keep_ids).withColumn("row", F.monotonically_increasing_id())
+    pieces = scratch.table(pieces.withColumn("key", F.xxhash64("doc_id", "piece", "ids_crc32", "row")), "pieces")
+    lengths = scratch.table(pieces.groupBy("length").agg(F.count("*").alias("n")), "lengths")
+    places = matched(lengths, scratch, capacity)
     # What is broadcast depends on the lengths, of which there are at most ``capacity``, and not on the rows.
-    runs = spark.createDataFrame(list(by_length.items()), "length long, runs array<struct<rank0: long, each: long, sequence0: long, offset: long>>")
-    placed = ranked.join(F.broadcast(runs), "length").withColumn("run", F.element_at(F.filter("runs", lambda r: r["rank0"] <= F.col("rank")), -1))
-    since = F.col("rank") - F.col("run.rank0")
-    sequence = F.col("run.sequence0") + F.floor(since / F.col("run.each"))
+    runs = places.groupBy(F.col("size").alias("length")).agg(F.array_sort(F.collect_list(F.struct("first", "each", "sequence", "offset"))).alias("runs"))
+    buckets = max(64, math.ceil((lengths.agg(F.sum("n")).first()[0] or 0) / bucket_rows))
+    pieces = pieces.select("*", F.pmod(F.shiftright("key", 20), F.lit(buckets)).cast("int").alias("bucket"), F.lit(1).cast("long").alias("one"))
+    ranked = prefix_before(pieces, scratch, ["length"], "bucket", ["key", "row"], "one", "rank")
+    placed = ranked.join(F.broadcast(runs), "length").withColumn("run", F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("rank")), -1))
+    since = F.col("rank") - F.col("run.first")
+    sequence = F.col("run.sequence") + F.floor(since / F.col("run.each"))
     offset = F.col("run.offset") + since % F.col("run.each") * F.col("length")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"), *(["ids"] if keep_ids else []))
 

@@ -5,7 +5,8 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
-from relengine.llm.packing import best_fit, pack, tokenizer_path
+from relengine.llm.common import Scratch
+from relengine.llm.packing import matched, pack, ranges, sweep, tokenizer_path
 
 TEXTS = [
     None, "", " \t\n", "a", "Hello, World's <|endoftext|> x", "naïve café ΑΣ ß İ 한국어   x\x1cy \x85 ́a", "word " * 9000, "x" * 30_000,
@@ -42,26 +43,60 @@ def check_sequences(rows, capacity):
     return len(by)
 
 
-def test_best_fit_is_as_tight_as_row_by_row():
+def row_by_row(counts, capacity):
+    """How many sequences best fit opens, one document at a time, longest first."""
+    gaps: list[int] = []
+    for length in sorted((x for x, c in counts.items() for _ in range(c)), reverse=True):
+        fit = min((g for g in gaps if g >= length), default=None)
+        if fit is None:
+            gaps.append(capacity - length)
+        else:
+            gaps[gaps.index(fit)] -= length
+    return len(gaps)
+
+
+def placed(counts, runs, capacity):
+    """The number of sequences of runs (length, rank, how many, each, sequence, offset), each document in one place."""
+    rows = []
+    for length, first, n, each, sequence, offset in runs:
+        rows += [(length, first + r, sequence + r // each, offset + r % each * length) for r in range(n)]
+    assert sorted(r[:2] for r in rows) == sorted((x, i) for x, c in counts.items() for i in range(c))
+    return check_sequences([{"length": r[0], "sequence_id": r[2], "offset": r[3]} for r in rows], capacity)
+
+
+def random_counts(rng, capacity):
+    return {rng.randrange(1, capacity + 1): rng.randrange(1, 60) for _ in range(rng.randrange(1, 20))}
+
+
+def test_rounds_are_as_tight_as_row_by_row():
+    """The rounds without Spark: ranges swept apart, then what they carried on."""
     rng = random.Random(2)
     for _ in range(200):
         capacity = rng.choice([1, 7, 40, 100])
-        counts = {rng.randrange(1, capacity + 1): rng.randrange(1, 60) for _ in range(rng.randrange(1, 20))}
-        rows = []
-        for length, rank0, each, first, offset in (found := best_fit(counts, capacity)):
-            ends = [f[1] for f in found if f[0] == length and f[1] > rank0]
-            for r in range(rank0, min([*ends, counts[length]])):
-                rows.append({"length": length, "sequence_id": first + (r - rank0) // each, "offset": offset + (r - rank0) % each * length})
-        assert len(rows) == sum(counts.values())
-        n = check_sequences(rows, capacity)
-        gaps: list[int] = []
-        for length in sorted((x for x, c in counts.items() for _ in range(c)), reverse=True):
-            fit = min((g for g in gaps if g >= length), default=None)
-            if fit is None:
-                gaps.append(capacity - length)
-            else:
-                gaps[gaps.index(fit)] -= length
-        assert n == len(gaps)
+        counts = random_counts(rng, capacity)
+        docs, gaps, found, opened = [(x, 0, n) for x, n in counts.items()], [], [], 0
+        for low, high in ranges(capacity):
+            parts = rng.randrange(1, 9)
+            here = lambda r: low < r[0] <= high  # noqa: B023, E731
+            left_docs, left_gaps = [], []
+            for i in range(parts):
+                mine = lambda r: here(r) and (r[0] - low - 1) * parts // (high - low) == i  # noqa: B023, E731
+                f, d, g, _ = sweep(list(filter(mine, docs)), list(filter(mine, gaps)), capacity)
+                found, left_docs, left_gaps = found + f, left_docs + d, left_gaps + g
+            f, d, g, opened = sweep(left_docs, left_gaps + [x for x in gaps if x[0] > high], capacity, opened)
+            assert not d
+            found, gaps, docs = found + f, g + [x for x in gaps if x[0] <= low], [x for x in docs if x[0] <= low]
+        assert placed(counts, found, capacity) == opened == row_by_row(counts, capacity)
+
+
+def test_rounds_in_spark(spark):
+    rng = random.Random(3)
+    for capacity in (100, 37):
+        counts = random_counts(rng, capacity) | {capacity: 70, 1: 90}
+        lengths = spark.createDataFrame(list(counts.items()), "length long, n long")
+        rows = matched(lengths, Scratch(spark, "t"), capacity).collect()
+        runs = [(r["size"], r["first"], r["n"], r["each"], r["sequence"], r["offset"]) for r in rows]
+        assert placed(counts, runs, capacity) == row_by_row(counts, capacity)
 
 
 def test_empty(spark):
