@@ -1,4 +1,4 @@
-"""Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks."""
+"""Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks, trained on labelled sentences."""
 
 from __future__ import annotations
 
@@ -13,45 +13,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import Scratch, by_place, table
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 SIGNS = re.compile(r"[\W_]+")
-EDGES = re.compile(r"^\W+|[\W_]+$")
+SPAN = 2  # units of a sentence that stand together; longer sentences fall into so many at a time
 MEMO = 300_000  # words whose scores a worker keeps
 CHUNK = 1 << 20  # characters of text whose words are scored together
-LONGEST = 60  # letters of a word that are looked at together; longer words fall into parts that overlap
+WIDE = 1 << 13  # characters of a word that are hashed at a time
 
 
-def forms(word: str) -> list[str]:
-    """A word in lower case without signs at its ends, and, where it has signs inside, its letters alone; none for signs only."""
+def unit(word: str) -> str:
+    """The letters and digits of a word in lower case; signs at its ends and between its letters are no part of it."""
     w = word.lower()
-    if w.isalnum():
-        return [w]
-    w = EDGES.sub("", w)
-    if not w:
-        return []
-    bare = SIGNS.sub("", w) if not w.isalnum() else ""
-    return [w, bare] if len(bare) > 2 else [w]
-
-
-def units(text: str) -> list[str]:
-    """The forms of a text's words; three or more single letters in a row, within a sentence, are one word."""
-    out: list[str] = []
+    return w if w.isalnum() else SIGNS.sub("", w)
+
+
+def units(text: str) -> list[list[str]]:
+    """The units of each sentence; three or more single letters in a row are one unit, fewer are none."""
+    out = []
     for sentence in SENTENCE.split(text):
+        found: list[str] = []
         run: list[str] = []
-        for w in [*sentence.split(), ""]:
-            f = forms(w)
-            if f and len(f[0]) == 1:
-                run += f
-                continue
-            if len(run) > 2:
-                out.append("".join(run))
-            run = []
-            out += f
+        for w in map(unit, sentence.split()):
+            if len(w) == 1:
+                run.append(w)
+            elif w:
+                if len(run) > 2:
+                    found.append("".join(run))
+                run = []
+                found.append(w)
+        if len(run) > 2:
+            found.append("".join(run))
+        if found:
+            out.append(found)
     return out
 
 
+def phrases(text: str) -> list[tuple[str, ...]]:
+    """A text's sentences, cut after every SPAN units."""
+    return [tuple(s[i : i + SPAN]) for s in units(text) for i in range(0, len(s), SPAN)]
+
+
 #: Places of the characters of a gapped subsequence after its first: of three in a span of five, of four in a span of six.
 PLACES = [(a, b) for b in range(2, 5) for a in range(1, b)] + [(a, b, c) for c in range(3, 6) for b in range(2, c) for a in range(1, b)]
 DECAY = 0.5
@@ -67,14 +70,25 @@ def lengths(n: np.ndarray) -> np.ndarray:
 
 
 def hashed(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Words of like length together: (rows, characters with bounds, for each of PLACES the hashed subsequences at each first place)."""
-    by: dict[int, list[int]] = {}
+    """Words of like length together: (rows, characters with bounds, for each of PLACES the hashed subsequences at each first place).
+
+    Words of over WIDE characters come in parts, which share their row; each part has the subsequences that begin in it.
+    """
+    by: dict[int, list[tuple[int, str, int]]] = {}
+    reach = PLACES[-1][-1]
     for i, w in enumerate(words):
-        by.setdefault(8 << max(0, (len(w) + 1).bit_length() - 3), []).append(i)
+        s = f"^{w}$"
+        for at in range(0, max(1, len(s) - reach), WIDE):
+            part = s[at : at + WIDE + reach] if at + WIDE + reach < len(s) else s[at:]
+            whole = at + len(part) == len(s)
+            by.setdefault(8 << max(0, (len(part) - 1).bit_length() - 3), []).append((i, part, len(part) if whole else -1))
+            if whole:
+                break
     for width, rows in sorted(by.items()):
-        for at in range(0, len(rows), 4096):
-            part = rows[at : at + 4096]
-            text = "".join([f"^{words[i]}$".ljust(width, "\0") for i in part])
+        many = max(1, (1 << 17) // width)
+        for at in range(0, len(rows), many):
+            part = rows[at : at + many]
+            text = "".join([s.ljust(width, "\0") for _, s, _ in part])
             c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), width)
             found = []
             for p in PLACES:
@@ -84,7 +98,13 @@ def hashed(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.n
                     h = (h ^ (h >> np.uint32(15))) + c[:, off : off + m] * MULTIPLIERS[k]
                 h = (h ^ (h >> np.uint32(13))) * np.uint32(0x2C1B3C6D)
                 found.append(h >> np.uint32(32 - HASH_BITS))
-            yield np.array(part), np.array([len(words[i]) + 2 for i in part]), found
+            yield np.array([i for i, _, _ in part]), np.array([n for _, _, n in part]), found
+
+
+def beyond(n: np.ndarray, p: tuple[int, ...], width: int) -> np.ndarray:
+    """The first places whose subsequence isn't in its row: beyond the end of a word, or of a part that has another after it."""
+    last = np.where(n < 0, WIDE, n - p[-1])
+    return np.arange(width)[None, :] >= last[:, None]
 
 
 def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -93,20 +113,16 @@ def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     This is the feature map of the gap-weighted subsequence kernel (Lodhi et al. 2002), with bounded spans, divided by
     :func:`lengths`; a word's bounds count as characters.  A weight of 0 marks places beyond a word's end.
     """
+    size = np.maximum(lengths(np.array([len(w) + 2 for w in words])), 1e-9) if words else np.empty(0)
     for rows, n, ids in hashed(words):
-        weights = [np.where(np.arange(h.shape[1]) < (n - p[-1])[:, None], w, 0.0) for p, w, h in zip(PLACES, WEIGHTS, ids)]
-        yield rows, np.concatenate(ids, axis=1), np.concatenate(weights, axis=1) / np.maximum(lengths(n), 1e-9)[:, None]
-
-
-def parts(word: str) -> list[str]:
-    """A word that is too long to look at as a whole, in parts that overlap."""
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST - 10)]
+        weights = [np.where(beyond(n, p, h.shape[1]), 0.0, w) for p, w, h in zip(PLACES, WEIGHTS, ids)]
+        yield rows, np.concatenate(ids, axis=1), np.concatenate(weights, axis=1) / size[rows][:, None]
 
 
 BIAS = -1.0  # fixed: a word like no landmark is clean
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 40.0, rounds: int = 40) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 16.0, rounds: int = 40) -> np.ndarray:
     """Primal linear SVM with squared hinge loss and fixed bias by Newton steps, halved where one overshoots."""
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
 
@@ -136,44 +152,48 @@ class Model:
 
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << HASH_BITS, np.float32))
     bias: float = BIAS
-    curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, -4.0)
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0, -4.0)
 
-    def words(self, ws: list[str]) -> np.ndarray:
-        """Scores of words: over 0 is an insult."""
-        pieces = [(i, p) for i, w in enumerate(ws) for p in parts(w)]
-        out, of = np.full(len(ws), -np.inf), np.array([i for i, _ in pieces], np.int64)
-        for rows, n, ids in hashed([p for _, p in pieces]):
+    def units(self, words: list[str]) -> np.ndarray:
+        """What each unit adds to a phrase."""
+        out = np.zeros(len(words))
+        for rows, n, ids in hashed(words):
             total = np.zeros(len(rows))
             for p, w, h in zip(PLACES, WEIGHTS, ids):
                 found = self.weights[h]
-                found[np.arange(h.shape[1]) >= (n - p[-1])[:, None]] = 0
-                total += w * found.sum(axis=1)
-            np.maximum.at(out, of[rows], total / np.maximum(lengths(n), 1e-9) + self.bias)
-        return out
+                found[beyond(n, p, h.shape[1])] = 0
+                total += w * found.sum(axis=1, dtype=np.float64)
+            np.add.at(out, rows, total)
+        return out / np.maximum(lengths(np.array([len(w) + 2 for w in words])), 1e-9) if words else out
+
+    def phrases(self, adds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores of phrases of so many units each, of which ``adds`` tells one after another; over 0 is an insult."""
+        if not len(sizes):
+            return np.empty(0)
+        return np.add.reduceat(adds, np.cumsum(sizes) - sizes) + self.bias
 
-    def probability(self, scores: np.ndarray) -> float:
-        """Of a text whose words score ``scores``."""
-        return float(1 / (1 + np.exp(-np.clip(evidence(scores) @ np.array(self.curve), -30, 30))))
+    def probability(self, found: np.ndarray) -> float:
+        """Of a text with this :func:`evidence`."""
+        return float(1 / (1 + np.exp(-np.clip(found @ np.array(self.curve), -30, 30))))
 
 
 def evidence(scores: np.ndarray) -> np.ndarray:
-    """The highest and the second highest score, how many words are over the margin, how many there are; 1."""
-    x = scores if len(scores) else np.full(1, -1.0)
-    top = np.clip(np.sort(np.partition(x, -2)[-2:] if len(x) > 1 else x), -2.0, 2.0)
-    return np.array([top[-1], top[0] if len(x) > 1 else -1.0, math.log1p(float((x > 0).sum())), math.log1p(len(x)), 1.0])
+    """The highest score, how many phrases are over the margin, how many there are; 1."""
+    top = min(3.0, max(-3.0, float(scores.max()))) if len(scores) else -1.0
+    return np.array([top, math.log1p(float((scores > 0).sum())), math.log1p(max(1, len(scores))), 1.0])
 
 
 def disguised(word: str) -> list[str]:
-    """The word with signs or letters put in, as insults are hidden."""
+    """The word with letters put in, as insults are hidden."""
     half = len(word) // 2
-    return ["-".join(word), ".".join(word), word[:half] + "*" + word[half:], word[:half] + word[half] * 2 + word[half + 1 :]] if len(word) > 3 else []
+    return [word[:half] + word[half] * 2 + word[half + 1 :], word[:half] + "x" + word[half:], word[: half - 1] + word[half - 1] * 2 + word[half:]] if len(word) > 3 else []
 
 
 def witnesses(have: np.ndarray, clean: np.ndarray, n_pos: int, n_neg: int, least: int = 3) -> np.ndarray:
-    """Words that toxic texts have far oftener than others: the places where this holds.
+    """Units that toxic texts have far oftener than others: the places where this holds.
 
-    ``have`` and ``clean`` count the toxic and the other texts that hold each word.  By chance, a word that n texts hold is in k or
-    more toxic ones with a binomial probability; witnesses are words so improbable that half of one is expected among all.
+    ``have`` and ``clean`` count the toxic and the other texts that hold each unit.  By chance, a unit that n texts hold is in k or
+    more toxic ones with a binomial probability; witnesses are units so improbable that half of one is expected among all.
     """
     share = n_pos / (n_pos + n_neg)
     tried = np.flatnonzero((have >= least) & (have * n_neg > 8 * (clean + 0.5) * n_pos))
@@ -185,77 +205,103 @@ def witnesses(have: np.ndarray, clean: np.ndarray, n_pos: int, n_neg: int, least
     return tried[np.array(far, bool)]
 
 
-def fit(texts: list[str], toxic: list[int], landmarks: int = 400, words: int = 10_000, rounds: int = 2) -> Model:
-    """Learn from labelled texts.
-
-    Texts fall into sentences.  A sentence of a toxic text is toxic if it holds a witness, a word that toxic texts have far
-    oftener than others, or, later, a word like them where a toxic text has none; all sentences of other texts are clean.  The
-    machine learns on the toxic sentences' witnesses, also disguised, against the clean sentences' other words, with those
-    that score highest added in each round; landmarks are witnesses and such words.  A text's probability comes from its
-    highest two scores, the number of words over the margin, and its length.
+class Landmarks:
+    """The kernel of phrases and its Nyström map.  A phrase's feature vector is the sum of its units', divided by the root of their number."""
+
+    def __init__(self, marks: list[tuple[str, ...]]):
+        words = [w for m in marks for w in m]
+        of, share = np.repeat(np.arange(len(marks)), [len(m) for m in marks]), np.repeat([1.0 for m in marks], [len(m) for m in marks])
+        self.used = np.unique(np.concatenate([ids[v > 0] for _, ids, v in features(words)]))
+        self.column = np.full(1 << HASH_BITS, len(self.used), np.int32)
+        self.column[self.used] = np.arange(len(self.used))
+        self.dense = np.zeros((len(self.used) + 1, len(marks)), np.float32)
+        for rows, ids, v in features(words):
+            for i, r in enumerate(rows):
+                some = v[i] > 0
+                np.add.at(self.dense[:, of[r]], self.column[ids[i][some]], v[i][some] * share[r])
+        values, vectors = np.linalg.eigh(self.kernel(marks))
+        keep = values > 1e-6
+        self.map = vectors[:, keep] / np.sqrt(values[keep])
+
+    def kernel(self, some: list[tuple[str, ...]]) -> np.ndarray:
+        """The kernel of phrases with the landmarks."""
+        number: dict[str, int] = {}
+        at = [[number.setdefault(w, len(number)) for w in p] for p in some]
+        rows = np.zeros((len(number), self.dense.shape[1]), np.float32)
+        for r, ids, v in features(list(number)):
+            c = self.column[ids]
+            for i, x in enumerate(r):
+                there = (c[i] < len(self.used)) & (v[i] > 0)
+                rows[x] += v[i][there].astype(np.float32) @ self.dense[c[i][there]]
+        return np.array([rows[a].sum(axis=0, dtype=np.float64) for a in at])
+
+
+def fit(bags: list[list[tuple[str, ...]]], toxic: list[int], landmarks: int = 480, clean: int = 10_000, hard: int = 4000, bad: int = 2500, rounds: int = 2) -> Model:
+    """Learn from phrases of labelled texts (of each text, a bag), by rounds of multiple-instance labels; the curve is left to :func:`calibrate`.
+
+    All phrases of clean texts are clean.  Of a toxic text's phrases, those are toxic first that hold a witness, a unit that toxic texts have far
+    oftener than others; in later rounds, those that the machine of the round before finds, or the highest of a text where it
+    finds none, if that is as high as found ones use to be; but only if they hold a witness or a unit of several toxic texts and no clean
+    one.  The others aren't learned from.  The machine learns on toxic phrases (``bad`` at
+    most), also with their telling unit disguised, against themselves without it, ``clean`` phrases drawn by chance and, in each round,
+    the ``hard`` ones that score highest.  Half of the ``landmarks`` are toxic phrases, half clean ones.
     """
-    numbers: dict[str, int] = {}
-    bags = [np.array([numbers.setdefault(p, len(numbers)) for u in units(t) for p in parts(u)], np.int32) for t in texts]
-    known, is_toxic = list(numbers), np.array(toxic, bool)
-    del numbers
-    held = [np.unique(b) for b in bags]
+    is_toxic = np.array(toxic, bool)
+    number: dict[str, int] = {}
+    coded = [[tuple(number.setdefault(w, len(number)) for w in p) for p in b] for b in bags]
+    known = list(number)
+    held = [np.unique(np.array([w for p in b for w in p], np.int64)) for b in coded]
     n_pos, n_neg = int(is_toxic.sum()), int((~is_toxic).sum())
     if not n_pos or not n_neg or not known:
         return Model()
     have, other = (np.bincount(np.concatenate([h for h, y in zip(held, is_toxic) if y == side]), minlength=len(known)) for side in (True, False))
-    witness = np.zeros(len(known), bool)
-    witness[witnesses(have, other, n_pos, n_neg)] = True
-    found: dict[str, int] = {known[i]: int(have[i]) for i in np.flatnonzero(witness)}
-    clean_ids = np.flatnonzero((other > 0) & ~witness)
-    if not found or not len(clean_ids):
+    telling = np.zeros(len(known), bool)
+    telling[witnesses(have, other, n_pos, n_neg)] = True
+    every = [(i, p) for i, b in enumerate(coded) for p in b]
+    of = np.array([i for i, _ in every])
+    sizes = np.array([len(p) for _, p in every])
+    flat = np.array([w for _, p in every for w in p])
+    in_toxic = is_toxic[of]
+    toxic_now = in_toxic & (np.add.reduceat(telling[flat].astype(int), np.cumsum(sizes) - sizes) > 0)
+    clean_at = np.flatnonzero(~in_toxic)
+    may = in_toxic & (np.add.reduceat(((other == 0) & (have >= 2) | telling)[flat].astype(int), np.cumsum(sizes) - sizes) > 0)
+    if not toxic_now.any() or not len(clean_at):
         return Model()
     rng = np.random.default_rng(11)
-    often = clean_ids[np.argsort(-other[clean_ids], kind="stable")]
-    drawn = set(often[:1000].tolist()) | set(rng.choice(clean_ids, min(words, len(clean_ids)), replace=False).tolist())
-    model, scores = Model(), np.zeros(len(known))
+    drawn = set(rng.choice(clean_at, min(clean, len(clean_at)), replace=False).tolist())
+    adds, scores, model = np.where(telling, 1.0, 0.0), np.zeros(len(every)), Model()
+    text = lambda at: [tuple(known[w] for w in every[i][1]) for i in at]
     for _ in range(rounds):
-        bad = [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:1500]]
-        hard = sorted(drawn, key=lambda i: (-scores[i], known[i]))[: landmarks // 2]
-        marks = list(dict.fromkeys([*bad[: landmarks - len(hard)], *(known[i] for i in hard)]))
-        used = np.unique(np.concatenate([ids[v > 0] for _, ids, v in features(marks)]))
-        column = np.full(1 << HASH_BITS, len(used), np.int32)
-        column[used] = np.arange(len(used))
-        dense = np.zeros((len(used) + 1, len(marks)), np.float32)
-        for at, ids, v in features(marks):
-            for i, r in enumerate(at):
-                np.add.at(dense[:, r], column[ids[i][v[i] > 0]], v[i][v[i] > 0])
-
-        def kernel(ws: list[str]) -> np.ndarray:
-            k = np.zeros((len(ws), len(marks)))
-            for at, ids, v in features(ws):
-                c = column[ids]
-                for i, r in enumerate(at):
-                    some = (c[i] < len(used)) & (v[i] > 0)
-                    k[r] = v[i][some] @ dense[c[i][some]]
-            return k
-
-        values, vectors = np.linalg.eigh(kernel(marks))
-        keep = values > 1e-6
-        nystrom = vectors[:, keep] / np.sqrt(values[keep])
-        plus = [*bad, *(d for w in bad[:200] for d in disguised(w))]
-        minus_ids = [i for i in sorted(drawn) if known[i] not in found]
-        minus = [known[i] for i in minus_ids]
-        x = np.vstack([kernel(plus), kernel(minus)]) @ nystrom
-        y = np.r_[np.ones(len(plus)), -np.ones(len(minus))]
-        often = np.r_[[1 + math.log(found.get(w, 1)) for w in plus], [1 + math.sqrt(other[i]) / 4 for i in minus_ids]]
-        w = svm(x, y, often)
+        at = np.flatnonzero(toxic_now)
+        at = at if len(at) <= bad else np.sort(rng.choice(at, bad, replace=False))
+        minus = sorted(drawn)
+        hardest = sorted(minus, key=lambda i: (-scores[i], i))[: landmarks // 2]
+        plus = text(at)
+        tell = [max(range(len(every[i][1])), key=lambda k: adds[every[i][1][k]]) for i in at]
+        variants = [(*p[:k], d, *p[k + 1 :]) for p, k in zip(plus, tell) for d in disguised(p[k])[:2]]
+        step = max(1, len(plus) // (landmarks - len(hardest)) + 1)
+        marks = Landmarks(list(dict.fromkeys([*plus[::step], *text(hardest)])))
+        without = [q for p, k in zip(plus, tell) if (q := p[:k] + p[k + 1 :]) and not any(adds[number[u]] > 0 for u in q)]
+        x = np.vstack([marks.kernel(some) for some in (plus, variants, without, text(minus)) if some]) @ marks.map
+        y = np.r_[np.ones(len(plus) + len(variants)), -np.ones(len(without) + len(minus))]
+        weight = np.r_[np.ones(len(plus)), np.full(len(variants), 0.5), np.ones(len(without) + len(minus))]
+        w = svm(x, y, weight)
         table = np.zeros(1 << HASH_BITS, np.float32)
-        table[used] = (dense @ (nystrom @ w))[:-1]
+        table[marks.used] = (marks.dense @ (marks.map @ w))[:-1]
         model = Model(table)
-        del dense, x
-        scores = model.words(known)
-        drawn |= set(clean_ids[np.argsort(-scores[clean_ids], kind="stable")[:1500]].tolist())
-        usual = float(np.quantile(scores[witness], 0.25))
-        for h in (h for h, y in zip(held, is_toxic) if y and len(h) and not witness[h].any()):
-            top = h[np.argmax(scores[h])]
-            if scores[top] >= usual and not other[top]:
-                found[known[top]] = 1
-    model.curve = calibrate(np.array([evidence(scores[b]) for b in bags]), is_toxic.astype(float))
+        del marks, x
+        adds = model.units(known)
+        scores = model.phrases(adds[flat], sizes)
+        drawn |= set(clean_at[np.argsort(-scores[clean_at], kind="stable")[:hard]].tolist())
+        usual = float(np.quantile(scores[toxic_now], 0.25))
+        toxic_now = may & (scores > 0)
+        ends = np.cumsum([len(b) for b in coded])
+        for i in np.flatnonzero(is_toxic):
+            a, b = ends[i] - len(coded[i]), ends[i]
+            if b > a and not toxic_now[a:b].any() and scores[top := a + int(np.argmax(scores[a:b]))] >= min(usual, 0) and may[top]:
+                toxic_now[top] = True
+        if not toxic_now.any():
+            break
     return model
 
 
@@ -272,102 +318,143 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(map(float, a))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int, fold: int = 1, folds: int = 3) -> list:
-    """At most ``most`` toxic and twice as many other labelled texts, by a hash of doc_id, as rows (doc_id, text, toxic).
+def sample(docs: DataFrame, labels: DataFrame, most: int, fold: int = 1, folds: int = 3) -> DataFrame:
+    """At most ``most`` toxic and twice as many other labelled texts, by a hash of doc_id, as (doc_id, toxic, text).
 
     Rows whose crc32 of doc_id as text is ``fold`` modulo ``folds`` are held out.  Of several labels of a doc_id the highest holds, of
     several texts the least.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(F.crc32(F.col("doc_id").cast("string")) % folds != fold)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = (F.xxhash64("doc_id", F.lit(23)), "doc_id")
     chosen = known.where("toxic = 1").orderBy(*order).limit(most).union(known.where("toxic = 0").orderBy(*order).limit(2 * most))
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most 3 * most rows
-    return sorted(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect(), key=lambda r: r["doc_id"])
+    texts = docs.select("doc_id", F.col("text").cast("string")).where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most 3 * most rows
+    return texts.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+
+
+def drawn_phrases(texts: DataFrame, of_toxic: int, of_clean: int, longest: int) -> list:
+    """Phrases to learn from, as rows (doc_id, toxic, phrases): of each text at most so many, by a hash, of at most ``longest`` characters each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            for i, toxic, text in zip(b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), b.column("text")):
+                found = [q for p in phrases(text.as_py()) if len(q := " ".join(p)) <= longest]
+                most = of_toxic if toxic else of_clean
+                if len(found) > most:
+                    found = sorted(found, key=lambda q: xxh64_intdigest(q.encode("utf-8", "surrogatepass"), i & 0xFFFFFFFF))[:most]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([toxic], pa.int32()), pa.array([found], pa.list_(pa.string()))], ["doc_id", "toxic", "phrases"])
+
+    rows = texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(run, "doc_id long, toxic int, phrases array<string>")
+    return sorted(rows.collect(), key=lambda r: r["doc_id"])
 
 
 class Scores:
-    """Scores of texts; those of words are remembered, and all forgotten when there are many, which changes nothing but speed."""
+    """Scores of texts; what words add is remembered, and all forgotten when there are many, which changes nothing but speed."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.scored = model, {}, {}
+        self.model, self.known = model, {}
 
     def learn(self, words: set[str]) -> None:
-        """A word's score is its forms' highest; NaN stands for a single letter, -inf for signs only."""
+        """What a word's unit adds; NaN stands for a single letter, inf for signs only."""
         if len(self.known) > MEMO:
             self.known.clear()
-            self.scored.clear()
-        new = [(w, forms(w)) for w in words - self.known.keys()]
-        unknown = list({f for _, fs in new for f in fs} - self.scored.keys())
-        self.scored.update(zip(unknown, self.model.words(unknown).tolist()))
-        for w, fs in new:
-            self.known[w] = math.nan if len(fs) == 1 and len(fs[0]) == 1 else max((self.scored[f] for f in fs), default=-math.inf)
-
-    def texts(self, texts: list[str | None]) -> list[float]:
-        """A probability for each text.  Words are looked up about CHUNK characters at a time."""
-        out: list[float] = []
+        new = [(w, unit(w)) for w in words - self.known.keys()]
+        long = list({u for _, u in new if len(u) > 1})
+        adds = dict(zip(long, self.model.units(long).tolist()))
+        for w, u in new:
+            self.known[w] = adds[u] if len(u) > 1 else math.nan if u else math.inf
+
+    def evidence(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """:func:`evidence` of each text.  Words are looked up about CHUNK characters at a time."""
         at = 0
         while at < len(texts):
             end, held = at, 0
             while end < len(texts) and (held == 0 or held < CHUNK):
-                held, end = held + len(texts[end] or ""), end + 1
-            split = [(t or "").split() for t in texts[at:end]]
-            need = set().union(*split)
+                held, end = held + len(texts[end]), end + 1
+            split = [[s.split() for s in SENTENCE.split(t)] for t in texts[at:end]]
+            need = {w for t in split for s in t for w in s}
             self.learn(need)
-            for t, words in zip(texts[at:end], split):
-                x = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-                letters = np.isnan(x)
-                if letters.any():
-                    runs = self.spelled(t) if (letters[2:] & letters[1:-1] & letters[:-2]).any() else np.empty(0)
-                    x = np.concatenate((x[~letters], runs))
-                out.append(self.model.probability(x[x > -np.inf]))
+            for t, sentences in zip(texts[at:end], split):
+                yield evidence(self.model.phrases(*self.flat(t, sentences)))
             for w in [w for w in need if len(w) > 256]:  # few, but they may be very long
                 del self.known[w]
-                for f in forms(w):
-                    self.scored.pop(f, None)
             at = end
-        return out
 
-    def spelled(self, text: str) -> np.ndarray:
-        """Scores of words spelled letter by letter."""
-        found: list[str] = []
-        for sentence in SENTENCE.split(text):
-            run: list[str] = []
-            for w in [*sentence.split(), "  "]:
-                f = forms(w) if len(w) < 12 else [w]
-                if f and len(f[0]) == 1:
-                    run += f
-                    continue
-                if len(run) > 2:
-                    found.append("".join(run))
-                run = []
-        return self.model.words(found) if found else np.empty(0)
+    def flat(self, text: str, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """What the units of a text add, and the sizes of its phrases: just those of :func:`phrases`."""
+        x = np.fromiter((self.known[w] for s in sentences for w in s), np.float64)
+        of = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+        some = ~np.isinf(x)
+        x, of = x[some], of[some]
+        letter = np.isnan(x)
+        if letter.any():
+            if (letter[2:] & letter[1:-1] & letter[:-2] & (of[2:] == of[:-2])).any():  # a word spelled letter by letter
+                found = phrases(text)
+                return self.model.units([u for p in found for u in p]), np.array([len(p) for p in found], np.int64)
+            x, of = x[~letter], of[~letter]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
+        length = np.diff(np.r_[first, len(of)])
+        place = np.arange(len(of)) - np.repeat(first, length)
+        begins = np.flatnonzero(place % SPAN == 0)
+        return x, np.diff(np.r_[begins, len(of)])
+
+    def texts(self, texts: list[str | None]) -> list[float]:
+        return [self.model.probability(z) for z in self.evidence([t or "" for t in texts])]
 
     def text(self, text: str | None) -> float:
         return self.texts([text])[0]
 
 
-def with_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str, *, most: int = 1200) -> DataFrame:
-    """``docs`` with a probability of toxicity of each whole text, learned from a sample of at most 3 * ``most`` labelled rows.
+def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, most: int = 1500, of_toxic: int = 300, of_clean: int = 200, longest: int = 128) -> Model:
+    """The machine of a sample of labelled texts: ``most`` toxic and twice as many clean ones.
+
+    Texts are cut into phrases by executors.  To the driver come at most ``of_toxic`` or ``of_clean`` phrases of a text, of at most ``longest``
+    characters each, and then, for the curve, four figures of each whole text.
+    """
+    scratch = Scratch(spark, "toxicity")
+    texts = scratch.table(sample(docs, labels, most), "sample")
+    rows = drawn_phrases(texts, of_toxic, of_clean, longest)
+    model = fit([[tuple(p.split(" ")) for p in r["phrases"]] for r in rows], [r["toxic"] for r in rows])
+    shared = spark.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(shared.value)
+        for b in batches:
+            for i, toxic, text in zip(b.column("doc_id"), b.column("toxic"), b.column("text")):
+                z = next(scores.evidence([text.as_py()])).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.array([toxic.as_py()], pa.int32()), pa.array([z], pa.list_(pa.float64()))], ["doc_id", "toxic", "z"])
+
+    seen = texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(measure, "doc_id long, toxic int, z array<double>").collect()
+    if {r["toxic"] for r in seen} == {0, 1} and model.weights.any():
+        seen.sort(key=lambda r: r["doc_id"])
+        model.curve = calibrate(np.array([r["z"] for r in seen]), np.array([float(r["toxic"]) for r in seen]))
+    shared.unpersist()
+    return model
+
+
+def with_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str, **kw) -> DataFrame:
+    """``docs`` with a probability of toxicity of each whole text in a last column, learned from a sample of labelled rows (:func:`learn`).
 
     Only texts are inputs of a score.  Null and empty texts score as texts without words; without toxic or without clean labelled texts
-    all scores are low; repeated rows score alike; an empty table gives no rows; further columns are kept.
+    all scores are low; repeated rows score alike; an empty table gives no rows; further columns are kept, whatever their names.
     """
-    rows = sample(docs, labels, most)
+    plain, name = by_place(docs)
+    own = plain.select(F.col(name["doc_id"]).alias("doc_id"), F.col(name["text"]).alias("text"))
+    model = spark.sparkContext.broadcast(learn(spark, own, labels, **kw))
     at = len(docs.columns)
-    model = spark.sparkContext.broadcast(fit([r["text"] for r in rows], [r["toxic"] for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model.value)
         for b in batches:
-            found = scores.texts(b.column(at).to_pylist())
+            found: list[float] = []
+            for i in range(0, b.num_rows, 256):  # a batch may hold many bytes
+                found += scores.texts(b.column(at).slice(i, 256).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(found, pa.float64())], [f"c{i}" for i in range(at + 1)])
 
-    # Columns go by place, so that names may be anything.
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    schema = StructType([*plain.schema.fields, StructField(f"c{len(docs.columns)}", DoubleType())])
-    text = F.col(f"c{docs.columns.index('text')}").cast("string").alias("_text")
-    return plain.select("*", text).mapInArrow(run, schema).toDF(*docs.columns, column)
+    schema = StructType([*plain.schema.fields, StructField(f"c{at}", DoubleType())])
+    return plain.select("*", F.col(name["text"]).cast("string").alias("whole")).mapInArrow(run, schema).toDF(*docs.columns, column)
 
 
 THRESHOLD = 0.7

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from relengine.llm.toxicity import Model, Scores, features, fit, parts, svm, toxicity, units
+from relengine.llm import toxicity as module
+from relengine.llm.toxicity import HASH_BITS, SPAN, Model, Scores, calibrate, features, fit, phrases, svm, toxicity, units
 
 DATA = "/root/testdata/sf0.1"
 
@@ -23,7 +24,7 @@ def slow_kernel(s, t, decay=0.5):
 
 
 def test_features_are_the_kernels_map():
-    words = ["idiot", "id-iot", "a", "abcabc", "cabcab", "réeux", "réeuxpa", "a" * 30]
+    words = ["idiot", "idxiot", "a", "abcabc", "cabcab", "réeux", "réeuxpa", "a" * 30]
     maps = {}
     for rows, ids, v in features(words):
         for i, r in enumerate(rows):
@@ -32,12 +33,37 @@ def test_features_are_the_kernels_map():
     for i, s in enumerate(words):
         for j, t in enumerate(words):
             assert abs(maps[i] @ maps[j] - slow_kernel(s, t)) < 1e-6
-    assert [len(p) for p in parts("x" * 200)] == [60, 60, 60, 50]
+
+
+def test_words_of_any_length_are_looked_at_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = Model(rng.normal(size=1 << HASH_BITS).astype(np.float32))
+    words = ["a" * n + "bcd" * n for n in (1, 2, 5, 16, 17, 40, 61, 300)] + ["x"]
+    whole = model.units(words)
+    for wide in (7, 16, 64):
+        monkeypatch.setattr(module, "WIDE", wide)
+        assert np.allclose(model.units(words), whole)
 
 
 def test_units():
-    assert units("You I.D.I.O.T, i d i o t ok a b!!") == ["you", "i.d.i.o.t", "idiot", "idiot", "ok"]
-    assert units("") == [] and units(" ... ### ") == []
+    assert units("You I.D.I.O.T, i d i o t ok a b!!\nx . y z") == [["you", "idiot", "idiot", "ok"]]  # the dot ends a sentence, so that two letters remain
+    assert units("c l o w n. ok id*iot##") == [["clown"], ["ok", "idiot"]]
+    assert units("") == [] and units(" ... ### a b ") == []
+    assert phrases("a1 b1 c1 d1 e1. f1 g1") == [("a1", "b1"), ("c1", "d1"), ("e1",), ("f1", "g1")] and SPAN == 2
+
+
+def test_scores_equal_the_plain_way():
+    """Words remembered, looked up in batches and put together again, against one text at a time by its phrases."""
+    rng = random.Random(8)
+    model = Model(np.random.default_rng(5).normal(size=1 << HASH_BITS).astype(np.float32), curve=(1.0, 0.5, -0.3, 0.1))
+    words = ["ab", "Cde!", "x", "y", "Z.", "###", "don't", "(((((((((((((a", "((((((((((((b", "((((((((((((c", "é", "w" * 90, "end.", "why?"]
+    texts = [rng.choice([" ", "\n", "  "]).join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(150)]
+    got = Scores(model).texts(texts)
+    for t, score in zip(texts, got):
+        found = phrases(t)
+        flat = model.units([u for p in found for u in p])
+        want = model.probability(module.evidence(model.phrases(flat, np.array([len(p) for p in found]))))
+        assert abs(score - want) < 1e-9
 
 
 def test_svm_separates():
@@ -63,21 +89,27 @@ def made(seed, n):
     return texts, toxic
 
 
+def fitted(texts, toxic):
+    model = fit([phrases(t) for t in texts], toxic)
+    model.curve = calibrate(np.array(list(Scores(model).evidence(texts))), np.array(toxic, float))
+    return model
+
+
 def test_disguised_words_are_found():
     texts, toxic = made(1, 500)
-    model = fit(texts, toxic)
-    scores = Scores(model)
+    scores = Scores(fitted(texts, toxic))
     clean = made(2, 60)
     assert all((scores.text(t) >= 0.7) == bool(y) for t, y in zip(*clean))
     plain = "bake limo nusa teri vodu pega bake. "
-    for hidden in ("zwyrfel grumpfox", "z-w-y-r-f-e-l g.r.u.m.p.f.o.x", "z w y r f e l and g r u m p f o x", "zwyrrfel quax*ling", "ZWYRFEL!! QUAXLING###"):
+    for hidden in ("zwyrfel grumpfox", "z-w-y-r-f-e-l g.r.u.m.p.f.o.x", "z w y r f e l and g r u m p f o x", "zwyrrfel quax*ling", "ZWYRFEL!! QUAXLING###", "zwyxrfel grumppfox"):
         assert scores.text(plain + hidden) >= 0.7, hidden
     assert scores.text(plain * 3) < 0.3 and scores.text(None) == scores.text("") < 0.7
 
 
 def test_nothing_to_learn_from():
     assert Scores(fit([], [])).text("any thing") < 0.7
-    assert Scores(fit(["a b"], [1])).text("a b") < 0.7 and isinstance(fit(["a b"], [0]), Model)
+    assert Scores(fit([phrases("a b cd")], [1])).text("a b cd") < 0.7 and isinstance(fit([[]], [0]), Model)
+    assert isinstance(fit([[], [("ab",)]], [1, 0]), Model)
 
 
 def test_odd_rows(spark):
@@ -96,7 +128,7 @@ def test_odd_rows(spark):
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_held_out_labels(spark):
-    """Measured: all of 1,200 clean held-out texts left alone, 131 of 144 toxic ones found (several of the rest hold no insult)."""
+    """Measured: 1,198 of 1,200 clean held-out texts left alone, 131 of 144 toxic ones found (nearly all of the rest hold no insult)."""
     docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
     rows = toxicity(spark, docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
     hit, missed, wrong = (sum((r.toxic, r.predicted) == k for r in rows) for k in ((1, 1), (1, 0), (0, 1)))
