@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -90,14 +90,18 @@ def hashed(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.n
             part = rows[at : at + many]
             text = "".join([s.ljust(width, "\0") for _, s, _ in part])
             c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), width)
+            begun: dict[tuple[int, ...], np.ndarray] = {(): c * MULTIPLIERS[0]}  # hashes of the characters so far
+
+            def begin(p: tuple[int, ...], c: np.ndarray = c, begun: dict = begun) -> np.ndarray:
+                if p not in begun:
+                    h = begin(p[:-1])[:, : c.shape[1] - p[-1]]
+                    begun[p] = (h ^ (h >> np.uint32(15))) + c[:, p[-1] :] * MULTIPLIERS[len(p)]
+                return begun[p]
+
             found = []
             for p in PLACES:
-                m = width - p[-1]
-                h = c[:, :m] * MULTIPLIERS[0]
-                for k, off in enumerate(p, 1):
-                    h = (h ^ (h >> np.uint32(15))) + c[:, off : off + m] * MULTIPLIERS[k]
-                h = (h ^ (h >> np.uint32(13))) * np.uint32(0x2C1B3C6D)
-                found.append(h >> np.uint32(32 - HASH_BITS))
+                h = begin(p)
+                found.append(((h ^ (h >> np.uint32(13))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - HASH_BITS))
             yield np.array([i for i, _, _ in part]), np.array([n for _, _, n in part]), found
 
 
@@ -131,9 +135,14 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 16.0, ro
 
     now = loss(w)
     for _ in range(rounds):
-        active = y * (x @ w + BIAS) < 1
-        xa, c = x[active], cost * weight[active]
-        move = np.linalg.solve(ridge + (xa * c[:, None]).T @ xa, (xa * c[:, None]).T @ (y[active] - BIAS)) - w
+        active = np.flatnonzero(y * (x @ w + BIAS) < 1)
+        square, side = ridge.copy(), np.zeros(len(w))
+        for i in range(0, len(active), 2048):  # bounded memory
+            some = active[i : i + 2048]
+            xa, c = x[some].astype(np.float64), cost * weight[some]
+            square += (xa * c[:, None]).T @ xa
+            side += (xa * c[:, None]).T @ (y[some] - BIAS)
+        move = np.linalg.solve(square, side) - w
         size = 1.0
         while (new := loss(w + size * move)) > now and size > 1e-3:
             size /= 2
@@ -206,11 +215,11 @@ def witnesses(have: np.ndarray, clean: np.ndarray, n_pos: int, n_neg: int, least
 
 
 class Landmarks:
-    """The kernel of phrases and its Nyström map.  A phrase's feature vector is the sum of its units', divided by the root of their number."""
+    """The kernel of phrases and its Nyström map.  A phrase's feature vector is the sum of its units'."""
 
     def __init__(self, marks: list[tuple[str, ...]]):
         words = [w for m in marks for w in m]
-        of, share = np.repeat(np.arange(len(marks)), [len(m) for m in marks]), np.repeat([1.0 for m in marks], [len(m) for m in marks])
+        of = np.repeat(np.arange(len(marks)), [len(m) for m in marks])
         self.used = np.unique(np.concatenate([ids[v > 0] for _, ids, v in features(words)]))
         self.column = np.full(1 << HASH_BITS, len(self.used), np.int32)
         self.column[self.used] = np.arange(len(self.used))
@@ -218,25 +227,30 @@ class Landmarks:
         for rows, ids, v in features(words):
             for i, r in enumerate(rows):
                 some = v[i] > 0
-                np.add.at(self.dense[:, of[r]], self.column[ids[i][some]], v[i][some] * share[r])
-        values, vectors = np.linalg.eigh(self.kernel(marks))
-        keep = values > 1e-6
-        self.map = vectors[:, keep] / np.sqrt(values[keep])
+                np.add.at(self.dense[:, of[r]], self.column[ids[i][some]], v[i][some])
+        values, vectors = np.linalg.eigh(self.kernel(marks).astype(np.float64))
+        keep = values > 1e-4
+        self.map = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
 
     def kernel(self, some: list[tuple[str, ...]]) -> np.ndarray:
         """The kernel of phrases with the landmarks."""
         number: dict[str, int] = {}
         at = [[number.setdefault(w, len(number)) for w in p] for p in some]
         rows = np.zeros((len(number), self.dense.shape[1]), np.float32)
-        for r, ids, v in features(list(number)):
-            c = self.column[ids]
-            for i, x in enumerate(r):
-                there = (c[i] < len(self.used)) & (v[i] > 0)
-                rows[x] += v[i][there].astype(np.float32) @ self.dense[c[i][there]]
-        return np.array([rows[a].sum(axis=0, dtype=np.float64) for a in at])
-
-
-def fit(bags: list[list[tuple[str, ...]]], toxic: list[int], landmarks: int = 480, clean: int = 10_000, hard: int = 4000, bad: int = 2500, rounds: int = 2) -> Model:
+        words = list(number)
+        for k in range(0, len(words), 4096):
+            for r, ids, v in features(words[k : k + 4096]):
+                c = self.column[ids]
+                for i, x in enumerate(r):
+                    there = (c[i] < len(self.used)) & (v[i] > 0)
+                    rows[k + x] += v[i][there].astype(np.float32) @ self.dense[c[i][there]]
+        out = np.empty((len(some), rows.shape[1]), np.float32)
+        for i, a in enumerate(at):
+            out[i] = rows[a].sum(axis=0)
+        return out
+
+
+def fit(bags: Iterable[list[tuple[str, ...]]], toxic: list[int], landmarks: int = 480, clean: int = 10_000, hard: int = 4000, bad: int = 2500, rounds: int = 2) -> Model:
     """Learn from phrases of labelled texts (of each text, a bag), by rounds of multiple-instance labels; the curve is left to :func:`calibrate`.
 
     All phrases of clean texts are clean.  Of a toxic text's phrases, those are toxic first that hold a witness, a unit that toxic texts have far
@@ -248,36 +262,40 @@ def fit(bags: list[list[tuple[str, ...]]], toxic: list[int], landmarks: int = 48
     """
     is_toxic = np.array(toxic, bool)
     number: dict[str, int] = {}
-    coded = [[tuple(number.setdefault(w, len(number)) for w in p) for p in b] for b in bags]
+    flat_of, sizes_of = [], []  # of each bag: its units' numbers, and how many each phrase has
+    for b in bags:
+        flat_of.append(np.array([number.setdefault(w, len(number)) for p in b for w in p], np.int32))
+        sizes_of.append(np.array([len(p) for p in b], np.int32))
     known = list(number)
-    held = [np.unique(np.array([w for p in b for w in p], np.int64)) for b in coded]
+    held = [np.unique(f) for f in flat_of]
     n_pos, n_neg = int(is_toxic.sum()), int((~is_toxic).sum())
     if not n_pos or not n_neg or not known:
         return Model()
     have, other = (np.bincount(np.concatenate([h for h, y in zip(held, is_toxic) if y == side]), minlength=len(known)) for side in (True, False))
     telling = np.zeros(len(known), bool)
     telling[witnesses(have, other, n_pos, n_neg)] = True
-    every = [(i, p) for i, b in enumerate(coded) for p in b]
-    of = np.array([i for i, _ in every])
-    sizes = np.array([len(p) for _, p in every])
-    flat = np.array([w for _, p in every for w in p])
+    bag_sizes = [len(x) for x in sizes_of]
+    of, sizes, flat = np.repeat(np.arange(len(bag_sizes)), bag_sizes), np.concatenate(sizes_of), np.concatenate(flat_of)
+    starts = np.cumsum(sizes) - sizes
+    numbers = lambda i: flat[starts[i] : starts[i] + sizes[i]].tolist()
+    del held, flat_of, sizes_of
     in_toxic = is_toxic[of]
-    toxic_now = in_toxic & (np.add.reduceat(telling[flat].astype(int), np.cumsum(sizes) - sizes) > 0)
+    toxic_now = in_toxic & (np.add.reduceat(telling[flat].astype(int), starts) > 0)
     clean_at = np.flatnonzero(~in_toxic)
-    may = in_toxic & (np.add.reduceat(((other == 0) & (have >= 2) | telling)[flat].astype(int), np.cumsum(sizes) - sizes) > 0)
+    may = in_toxic & (np.add.reduceat(((other == 0) & (have >= 2) | telling)[flat].astype(int), starts) > 0)
     if not toxic_now.any() or not len(clean_at):
         return Model()
     rng = np.random.default_rng(11)
     drawn = set(rng.choice(clean_at, min(clean, len(clean_at)), replace=False).tolist())
-    adds, scores, model = np.where(telling, 1.0, 0.0), np.zeros(len(every)), Model()
-    text = lambda at: [tuple(known[w] for w in every[i][1]) for i in at]
+    adds, scores, model = np.where(telling, 1.0, 0.0), np.zeros(len(sizes)), Model()
+    text = lambda at: [tuple(known[w] for w in numbers(i)) for i in at]
     for _ in range(rounds):
         at = np.flatnonzero(toxic_now)
         at = at if len(at) <= bad else np.sort(rng.choice(at, bad, replace=False))
         minus = sorted(drawn)
         hardest = sorted(minus, key=lambda i: (-scores[i], i))[: landmarks // 2]
         plus = text(at)
-        tell = [max(range(len(every[i][1])), key=lambda k: adds[every[i][1][k]]) for i in at]
+        tell = [int(np.argmax(adds[numbers(i)])) for i in at]
         variants = [(*p[:k], d, *p[k + 1 :]) for p, k in zip(plus, tell) for d in disguised(p[k])[:2]]
         step = max(1, len(plus) // (landmarks - len(hardest)) + 1)
         marks = Landmarks(list(dict.fromkeys([*plus[::step], *text(hardest)])))
@@ -295,9 +313,9 @@ def fit(bags: list[list[tuple[str, ...]]], toxic: list[int], landmarks: int = 48
         drawn |= set(clean_at[np.argsort(-scores[clean_at], kind="stable")[:hard]].tolist())
         usual = float(np.quantile(scores[toxic_now], 0.25))
         toxic_now = may & (scores > 0)
-        ends = np.cumsum([len(b) for b in coded])
+        ends = np.cumsum(bag_sizes)
         for i in np.flatnonzero(is_toxic):
-            a, b = ends[i] - len(coded[i]), ends[i]
+            a, b = ends[i] - bag_sizes[i], ends[i]
             if b > a and not toxic_now[a:b].any() and scores[top := a + int(np.argmax(scores[a:b]))] >= min(usual, 0) and may[top]:
                 toxic_now[top] = True
         if not toxic_now.any():
@@ -384,7 +402,8 @@ class Scores:
 
     def flat(self, text: str, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """What the units of a text add, and the sizes of its phrases: just those of :func:`phrases`."""
-        x = np.fromiter((self.known[w] for s in sentences for w in s), np.float64)
+        known = self.known
+        x = np.array([known[w] for s in sentences for w in s], np.float64)
         of = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
         some = ~np.isinf(x)
         x, of = x[some], of[some]
@@ -416,15 +435,17 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, most: int
     scratch = Scratch(spark, "toxicity")
     texts = scratch.table(sample(docs, labels, most), "sample")
     rows = drawn_phrases(texts, of_toxic, of_clean, longest)
-    model = fit([[tuple(p.split(" ")) for p in r["phrases"]] for r in rows], [r["toxic"] for r in rows])
+    toxic = [r["toxic"] for r in rows]
+    model = fit(([tuple(p.split(" ")) for p in rows.pop(0)["phrases"]] for _ in toxic), toxic)
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(shared.value)
         for b in batches:
-            for i, toxic, text in zip(b.column("doc_id"), b.column("toxic"), b.column("text")):
-                z = next(scores.evidence([text.as_py()])).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.array([toxic.as_py()], pa.int32()), pa.array([z], pa.list_(pa.float64()))], ["doc_id", "toxic", "z"])
+            z: list[list[float]] = []
+            for i in range(0, b.num_rows, 256):
+                z += [x.tolist() for x in scores.evidence(b.column("text").slice(i, 256).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(z, pa.list_(pa.float64()))], ["doc_id", "toxic", "z"])
 
     seen = texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(measure, "doc_id long, toxic int, z array<double>").collect()
     if {r["toxic"] for r in seen} == {0, 1} and model.weights.any():
