@@ -16,14 +16,13 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, prefix_before
 
-MEMO = 300_000  # words whose ids a worker keeps
+MEMO = 150_000  # words whose ids a worker keeps
 LONG = 256  # longer ones aren't kept
 
 
@@ -187,9 +186,9 @@ COLUMNS = ["kind", "size", "first", "n", "each", "sequence", "offset"]  # first:
 RUNS = ", ".join(f"{c} long" for c in COLUMNS)
 
 
-def swept(g: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def swept(g: pa.Table, capacity: int) -> pa.Table:
     """One range's runs, or all that ranges carried on; only the latter have a row NEXT, the number of sequences there are."""
-    rows = list(g[COLUMNS].itertuples(index=False, name=None))
+    rows = list(zip(*(g.column(c).to_pylist() for c in COLUMNS)))
     of = lambda kind: [r[1:4] for r in rows if r[0] == kind]
     opened = next((r[2] for r in rows if r[0] == NEXT), None)
     found, docs, gaps, opened = sweep(of(DOC), of(GAP), capacity, opened)
@@ -198,7 +197,7 @@ def swept(g: pd.DataFrame, capacity: int) -> pd.DataFrame:
     out += [(DOC, *d, 0, 0, 0) for d in docs] + [(GAP, *x, 0, 0, 0) for x in gaps]
     if opened is not None:
         out.append((NEXT, 0, opened, 0, 0, 0, 0))
-    return pd.DataFrame(out, columns=COLUMNS, dtype="int64")
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * len(COLUMNS), COLUMNS)
 
 
 def ranges(capacity: int) -> list[tuple[int, int]]:
@@ -233,9 +232,9 @@ def matched(lengths: DataFrame, scratch: Scratch, capacity: int, parts: int = 8)
         here = (F.col("kind").isin(DOC, GAP)) & (F.col("size") > low) & (F.col("size") <= high)
         part = F.floor((F.col("size") - low - 1) * parts / (high - low)).cast("int")
         run = lambda g: swept(g, capacity)
-        local = live.where(here).groupBy(part.alias("part")).applyInPandas(run, RUNS)
+        local = live.where(here).groupBy(part.alias("part")).applyInArrow(run, RUNS)
         above = live.where((F.col("kind") == NEXT) | (F.col("kind") == GAP) & (F.col("size") > high))
-        carried = local.union(above).groupBy().applyInPandas(run, RUNS)
+        carried = local.union(above).groupBy().applyInArrow(run, RUNS)
         below = live.where(F.col("kind").isin(DOC, GAP) & (F.col("size") <= low))
         state = scratch.table(carried.union(below), f"round_{k + 1}")
         done.append(state.where(F.col("kind") == MATCH))

@@ -19,7 +19,7 @@ from .warc import open_fs
 MINIMISER = 8  # words of a minimiser
 LEVELS = 5  # of splitting a large bucket: by minimisers of 16, 24, 32 and 40 words, then window by window
 CHUNK = 2 << 20  # bytes of text that are cut into windows at a time
-MEMO = 200_000  # words whose hashes a worker keeps
+MEMO = 150_000  # words whose hashes a worker keeps
 
 
 class WordHashes(dict):
@@ -274,7 +274,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, more: tuple[str, ...
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50, most: int = 500, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50, most: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove words covered by a window of ``window`` words that also starts in a document of smaller doc_id.
 
     1. Texts are cut into super-k-mers: runs of windows whose least group of MINIMISER words is the same.  Only their

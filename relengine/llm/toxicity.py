@@ -18,7 +18,7 @@ from .common import Scratch, by_place, table
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 SIGNS = re.compile(r"[\W_]+")
 SPAN = 2  # units of a sentence that stand together; longer sentences fall into so many at a time
-MEMO = 300_000  # words whose scores a worker keeps
+MEMO = 150_000  # words whose scores a worker keeps
 CHUNK = 1 << 20  # characters of text whose words are scored together
 WIDE = 1 << 13  # characters of a word that are hashed at a time
 
@@ -130,14 +130,17 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 16.0, ro
     """Primal linear SVM with squared hinge loss and fixed bias by Newton steps, halved where one overshoots."""
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
 
+    def margins(w: np.ndarray) -> np.ndarray:
+        return y * (np.concatenate([x[i : i + 2048] @ w for i in range(0, len(x), 2048)]) + BIAS)  # blocks, as memory is bounded
+
     def loss(w: np.ndarray) -> float:
-        return float(w @ w + cost * (weight * np.maximum(0, 1 - y * (x @ w + BIAS)) ** 2).sum())
+        return float(w @ w + cost * (weight * np.maximum(0, 1 - margins(w)) ** 2).sum())
 
     now = loss(w)
     for _ in range(rounds):
-        active = np.flatnonzero(y * (x @ w + BIAS) < 1)
+        active = np.flatnonzero(margins(w) < 1)
         square, side = ridge.copy(), np.zeros(len(w))
-        for i in range(0, len(active), 2048):  # bounded memory
+        for i in range(0, len(active), 2048):
             some = active[i : i + 2048]
             xa, c = x[some].astype(np.float64), cost * weight[some]
             square += (xa * c[:, None]).T @ xa
@@ -237,19 +240,26 @@ class Landmarks:
         number: dict[str, int] = {}
         at = [[number.setdefault(w, len(number)) for w in p] for p in some]
         rows = np.zeros((len(number), self.dense.shape[1]), np.float32)
-        words = list(number)
-        for k in range(0, len(words), 4096):
-            for r, ids, v in features(words[k : k + 4096]):
-                c = self.column[ids]
-                for i, x in enumerate(r):
-                    there = (c[i] < len(self.used)) & (v[i] > 0)
-                    rows[k + x] += v[i][there].astype(np.float32) @ self.dense[c[i][there]]
+        for r, ids, v in features(list(number)):
+            c = self.column[ids]
+            for i, x in enumerate(r):
+                there = (c[i] < len(self.used)) & (v[i] > 0)
+                rows[x] += v[i][there].astype(np.float32) @ self.dense[c[i][there]]
         out = np.empty((len(some), rows.shape[1]), np.float32)
         for i, a in enumerate(at):
             out[i] = rows[a].sum(axis=0)
         return out
 
 
+    def mapped(self, *groups: list[tuple[str, ...]]) -> np.ndarray:
+        """The Nyström map of phrases of all groups, a few thousand at a time."""
+        every = [p for some in groups for p in some]
+        out = np.empty((len(every), self.map.shape[1]), np.float32)
+        for i in range(0, len(every), 4096):
+            out[i : i + 4096] = self.kernel(every[i : i + 4096]) @ self.map
+        return out
+
+
 def fit(bags: Iterable[list[tuple[str, ...]]], toxic: list[int], landmarks: int = 480, clean: int = 10_000, hard: int = 4000, bad: int = 2500, rounds: int = 2) -> Model:
     """Learn from phrases of labelled texts (of each text, a bag), by rounds of multiple-instance labels; the curve is left to :func:`calibrate`.
 
@@ -300,7 +310,7 @@ def fit(bags: Iterable[list[tuple[str, ...]]], toxic: list[int], landmarks: int
         step = max(1, len(plus) // (landmarks - len(hardest)) + 1)
         marks = Landmarks(list(dict.fromkeys([*plus[::step], *text(hardest)])))
         without = [q for p, k in zip(plus, tell) if (q := p[:k] + p[k + 1 :]) and not any(adds[number[u]] > 0 for u in q)]
-        x = np.vstack([marks.kernel(some) for some in (plus, variants, without, text(minus)) if some]) @ marks.map
+        x = marks.mapped(plus, variants, without, text(minus))
         y = np.r_[np.ones(len(plus) + len(variants)), -np.ones(len(without) + len(minus))]
         weight = np.r_[np.ones(len(plus)), np.full(len(variants), 0.5), np.ones(len(without) + len(minus))]
         w = svm(x, y, weight)
@@ -308,7 +318,7 @@ def fit(bags: Iterable[list[tuple[str, ...]]], toxic: list[int], landmarks: int
         table[marks.used] = (marks.dense @ (marks.map @ w))[:-1]
         model = Model(table)
         del marks, x
-        adds = model.units(known)
+        adds = np.concatenate([model.units(known[i : i + 8192]) for i in range(0, len(known), 8192)])
         scores = model.phrases(adds[flat], sizes)
         drawn |= set(clean_at[np.argsort(-scores[clean_at], kind="stable")[:hard]].tolist())
         usual = float(np.quantile(scores[toxic_now], 0.25))
