@@ -105,6 +105,86 @@ def test_open_heads_and_marked_wrappers():
     assert text("<body><div class=cookie-consent><p>We use cookies</div>") == ""
 
 
+def random_page(rng, template):
+    """A well-formed page of nested containers, all of a host's by few templates, with words in blocks."""
+    words = lambda n: " ".join(rng.choice(["ab", "cde", "f", "ghij"]) for _ in range(n))
+    story = "".join(f"<{t}>{words(rng.randrange(1, 12))}</{t}>" for t in rng.choices(["p", "h2", "blockquote", "li"], k=rng.randrange(1, 5)))
+    title = f"<h1>{words(2)}</h1>" if rng.random() < 0.9 else ""
+    junk = f"<div class='box{rng.randrange(9)}'><p>{words(rng.randrange(1, 9))}</p></div>" if rng.random() < 0.2 else ""
+    body = [f"<div class='a{rng.randrange(9)}'>{title}<section>{story}</section></div>{junk}", f"{title}<div class='story x'><div>{story}</div></div>{junk}", f"<main>{junk}{title}<div>{story}</div></main>"][template]
+    return f"<html><body>{body}</body></html>"
+
+
+def slow_extract(pages):
+    """The same from the definition, on trees of a strict parser: every container is summed anew, every path a list of steps."""
+    import re
+    from collections import Counter
+    from xml.etree import ElementTree
+
+    containers = {"article", "main", "section", "div", "td", "body", "blockquote", "center", "dd", "html"}
+
+    def read(page):
+        found, paths = [], {}
+
+        def walk(e, path, above):
+            classes = sorted({re.sub(r"\d+", "#", c) for c in e.get("class", "").split()})
+            path = (*path, ".".join([e.tag, *classes]))
+            paths[e] = path
+            if e.text and e.text.strip():
+                found.append((e, [*above, e], " ".join(e.text.split())))
+            for child in e:
+                walk(child, path, [*above, e])
+
+        walk(ElementTree.fromstring(page), (), [])
+        return found, paths
+
+    def held(found, paths, path):
+        return [any(paths[x] == path and x.tag in containers for x in above) for _, above, _ in found]
+
+    def best(found, paths):
+        whole = sum(len(t) for _, _, t in found)
+        full = [x for x in paths if x.tag in containers and sum(len(t) for _, above, t in found if x in above) == whole]
+        return paths[max(full, key=lambda x: len(paths[x]))], whole
+
+    def path_hex(path):
+        return path_of(">".join(path))
+
+    votes, scores, parsed = {}, {}, {}
+    for i, url, page in pages:
+        parsed[i] = read(page)
+        path, score = best(*parsed[i])
+        host = url.split("/")[2]
+        votes.setdefault(host, Counter())[path] += 1
+        scores[host, path] = scores.get((host, path), 0) + score
+    out = {}
+    for i, url, _ in pages:
+        (found, paths), host = parsed[i], url.split("/")[2]
+        every = sum(votes[host].values())
+        ranked = sorted(((-n, -scores[host, p], path_hex(p), p) for p, n in votes[host].items() if n >= 2 and 20 * n >= every))
+        chosen = held(found, paths, best(found, paths)[0])
+        whole = sum(len(t) for _, _, t in found)
+        for n, _, _, path in ranked:
+            inside = held(found, paths, path)
+            score = sum(len(t) for (_, _, t), c in zip(found, inside) if c)
+            titled = any(e.tag == "h1" for (e, _, _), c in zip(found, inside) if not c)
+            if score == whole or 2 * -n > every and 2 * score >= whole and not titled:
+                chosen = inside
+                break
+        out[i] = " ".join(t for (_, _, t), c in zip(found, chosen) if c)
+    return out
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(240):
+        host = rng.randrange(8)
+        rows.append((i, f"http://h{host}/{i}", random_page(rng, host % 3 if rng.random() < 0.8 else rng.randrange(3))))
+    got = {r.page_id: r.text for r in extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == slow_extract(rows)
+    assert any(got[i] != article(page_blocks(h), []) for i, _, h in rows)  # the votes matter
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><ul><li><a href='/'>Home</a></ul></nav>"
     "<div class='post-{i} content'><h1>Head {i}</h1>{body}</div><div class='sidebar'><p>{noise}</p></div><aside>More</aside>"

@@ -69,14 +69,15 @@ def test_copies_are_dealt_once_and_tasks_are_bounded(spark, monkeypatch):
 
     monkeypatch.setattr(embeddings, "Scratch", Recorded)
     near = np.float64(np.float32(1 + 1e-3 * np.random.default_rng(8).normal(size=(300, 6))))
-    rows = [(i, [1.0, 2.0, -0.0 if i % 2 else 0.0], 1) for i in range(600)] + [(1000 + i, e, 2) for i, e in enumerate(near.tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    near = np.concatenate([near, near + 1e-6, near - 1e-6, near * (1 + 1e-6)])[:1000]
+    rows = [(i, [1.0, 2.0, -0.0 if i % 2 else 0.0], 1) for i in range(50_000)] + [(100_000 + i, e, 2) for i, e in enumerate(near.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark, df, cell_rows=50, sample=400, most_cells=1).collect()}
-    assert got == {i: (599, 0) for i in range(600)} | {1000 + i: (299, 1000) for i in range(300)}
+    assert got == {i: (49_999, 0) for i in range(50_000)} | {100_000 + i: (999, 100_000) for i in range(1000)}
     assert tables["dealt"].where("label = '3:1'").count() == 1
     pairs = embeddings.paired_blocks(tables["dealt"], tables["blocks"]).groupBy("label", "cell", "one", "other").count()
     sizes = [r["count"] for r in pairs.collect()]
-    assert len(sizes) == 22 and max(sizes) < 200  # six blocks of about 50 rows, two in a task
+    assert len(sizes) == 20 * 21 // 2 + 1 and max(sizes) < 200  # twenty blocks of about 50 rows, two in a task
 
 
 def slow_top(rows, k, every, scale=256):
