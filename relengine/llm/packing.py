@@ -13,7 +13,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, prefix_before
 
-MEMO = 150_000  # words whose ids a worker keeps
+MEMO = 300_000  # words whose ids a worker keeps
 LONG = 256  # longer ones aren't kept
 
 
@@ -109,11 +109,17 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """A worker's memo, which its next tasks go on with: reading a tokenizer file takes as long as thousands of texts."""
+    return WordIds(path)
+
+
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32, key[, ids]) of at most ``capacity`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(tokenizer), np.array([end_id], "<u4").tobytes()
+        words, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):  # texts one at a time, as a batch may hold many bytes
