@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, prefix_before
+from .common import Scratch, lean, prefix_before
 
 MEMO = 300_000  # words whose ids a worker keeps
 LONG = 256  # longer ones aren't kept
@@ -105,13 +105,18 @@ class WordIds(dict):
             self[word] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        if self.plain is not None:
+            self.plain.known.clear()
+
     def of(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
 
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """A worker's memo, which its next tasks go on with: reading a tokenizer file takes as long as thousands of texts."""
+    """A worker's tokenizer, which its next tasks use, too: reading its file takes as long as thousands of texts."""
     return WordIds(path)
 
 
@@ -129,9 +134,10 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_
                     out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
             arrays = [pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays(arrays, names)
+        words.forget()
 
     types, names = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
     return out if keep_ids else out.drop("ids")
 
 

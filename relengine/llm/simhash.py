@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, by_place, components
+from .common import Scratch, by_place, components, lean
 
 BITS = 64
 
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
             fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), b.column("tie")], ["doc_id", "fp", "tie"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, fp long, tie long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie")).mapInArrow(lean(run), "doc_id long, fp long, tie long")
 
 
 class Forest:
@@ -194,7 +194,7 @@ def hamming_links(fps: DataFrame, scratch: Scratch, budget: int = 4, block: int
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
 
     dealt = rows.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "src long, dst long")
+    return dealt.mapInArrow(lean(run), "src long, dst long")
 
 
 def _groups(spark: SparkSession, docs: DataFrame, shingle: int, seed: int, budget: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import Scratch
+from .common import Scratch, lean
 from .warc import open_fs
 
 MINIMISER = 8  # words of a minimiser
@@ -220,11 +220,11 @@ def lows_of_strings(strings: DataFrame, scratch: Scratch, window: int, most: int
     """
     large = scratch.table(strings.groupBy("low").agg(F.count("*").alias("n")).where(F.col("n") > most).select("low"), f"large_{level}")
     plain = strings.join(large, "low", "left_anti").repartition("low").sortWithinPartitions("low")
-    found = plain.mapInArrow(lambda b: _buckets(b, window), "s1 long, s2 long, lows array<long>")
+    found = plain.mapInArrow(lean(lambda b: _buckets(b, window)), "s1 long, s2 long, lows array<long>")
     if large.isEmpty():
         return found
     found = scratch.table(found, f"found_{level}")
-    cut = strings.join(large, "low", "left_semi").mapInArrow(lambda b: _split(b, window, level), "p1 long, p2 long, at int, n int, low long, s1 long, s2 long, least long, string binary")
+    cut = strings.join(large, "low", "left_semi").mapInArrow(lean(lambda b: _split(b, window, level)), "p1 long, p2 long, at int, n int, low long, s1 long, s2 long, least long, string binary")
     cut = scratch.table(cut, f"cut_{level}")
     parts = cut.groupBy("s1", "s2").agg(F.min("least").alias("least"), F.min("low").alias("low"), F.min("string").alias("string"))
     parts = scratch.table(parts.select("low", "s1", "s2", "least", "string"), f"strings_{level}")
@@ -297,7 +297,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50, mo
     staged = scratch.table(staged, "docs")
     files = scratch.table(staged.select(F.shiftright("row", 33).alias("file"), F.col("_metadata.file_path").alias("path")).distinct(), "files")
     texts = staged.where("doc_id is not null and text is not null").select("row", "doc_id", "text")
-    t = scratch.table(texts.mapInArrow(lambda b: _cut(b, window), "row long, doc_id long, start int, n int, low long, s1 long, s2 long"), "kmers")
+    t = scratch.table(texts.mapInArrow(lean(lambda b: _cut(b, window)), "row long, doc_id long, start int, n int, low long, s1 long, s2 long"), "kmers")
     seen = t.groupBy("low").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("low")
     t = scratch.table(t.join(seen, "low", "left_semi"), "shared")
     scratch.drop("kmers")
@@ -306,7 +306,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50, mo
     several = scratch.table(reps.groupBy("low").agg(F.count("*").alias("strings"), F.min("least").alias("a"), F.max("least").alias("z")).where("strings > 1 and a < z").select("low"), "several")
     asked = reps.join(several, "low").withColumn("file", F.shiftright("row", 33)).join(files, "file")
     asked = asked.select("path", "row", "start", "n", "low", "s1", "s2", "least").repartition("path").sortWithinPartitions("path", "row")
-    strings = scratch.table(asked.mapInArrow(lambda b: _fetch(b, window), "low long, s1 long, s2 long, least long, string binary"), "strings")
+    strings = scratch.table(asked.mapInArrow(lean(lambda b: _fetch(b, window)), "low long, s1 long, s2 long, least long, string binary"), "strings")
     found = scratch.table(lows_of_strings(strings, scratch, window, most), "found")
     reps = scratch.table(reps.select("s1", "s2", "least").join(found, ["s1", "s2"], "left"), "result")
     scratch.drop("several", "strings", "found", "lows_1", "large_1", "reps")
@@ -321,7 +321,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = 50, mo
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     schema = StructType([*schema.fields, *staged.select(*more).schema.fields])
     arrow = to_arrow_schema(schema)
-    return hits.mapInArrow(lambda b: _remove(b, window, more, arrow), schema)
+    return hits.mapInArrow(lean(lambda b: _remove(b, window, more, arrow)), schema)
 
 
 SQL = r"""

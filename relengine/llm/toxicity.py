@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Scratch, by_place, table
+from .common import Scratch, by_place, lean, table
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 SIGNS = re.compile(r"[\W_]+")
@@ -374,7 +374,7 @@ def drawn_phrases(texts: DataFrame, of_toxic: int, of_clean: int, longest: int)
                     found = sorted(found, key=lambda q: xxh64_intdigest(q.encode("utf-8", "surrogatepass"), i & 0xFFFFFFFF))[:most]
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([toxic], pa.int32()), pa.array([found], pa.list_(pa.string()))], ["doc_id", "toxic", "phrases"])
 
-    rows = texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(run, "doc_id long, toxic int, phrases array<string>")
+    rows = texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(lean(run), "doc_id long, toxic int, phrases array<string>")
     return sorted(rows.collect(), key=lambda r: r["doc_id"])
 
 
@@ -457,7 +457,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, most: int
                 z += [x.tolist() for x in scores.evidence(b.column("text").slice(i, 256).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(z, pa.list_(pa.float64()))], ["doc_id", "toxic", "z"])
 
-    seen = texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(measure, "doc_id long, toxic int, z array<double>").collect()
+    seen = texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(lean(measure), "doc_id long, toxic int, z array<double>").collect()
     if {r["toxic"] for r in seen} == {0, 1} and model.weights.any():
         seen.sort(key=lambda r: r["doc_id"])
         model.curve = calibrate(np.array([r["z"] for r in seen]), np.array([float(r["toxic"]) for r in seen]))
@@ -485,7 +485,7 @@ def with_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, column:
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(found, pa.float64())], [f"c{i}" for i in range(at + 1)])
 
     schema = StructType([*plain.schema.fields, StructField(f"c{at}", DoubleType())])
-    return plain.select("*", F.col(name["text"]).cast("string").alias("whole")).mapInArrow(run, schema).toDF(*docs.columns, column)
+    return plain.select("*", F.col(name["text"]).cast("string").alias("whole")).mapInArrow(lean(run), schema).toDF(*docs.columns, column)
 
 
 THRESHOLD = 0.7
