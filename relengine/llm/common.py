@@ -36,12 +36,11 @@ def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def give_back() -> None:
     """Return memory that a task has freed to the system; Spark keeps workers for later tasks, which would hold it beside the next ones'."""
     import ctypes
-    import ctypes.util
 
     pa.default_memory_pool().release_unused()
-    libc = ctypes.util.find_library("c")
-    if libc and hasattr(trim := ctypes.CDLL(libc), "malloc_trim"):
-        trim.malloc_trim(0)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other C libraries have none
+    if trim is not None:
+        trim(0)
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
