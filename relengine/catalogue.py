@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .database import Database
 from .dsl import query, relexp
@@ -241,7 +242,22 @@ def difference_then_join(t: Tables) -> DataFrame:
 def difference_arrays(t: Tables) -> DataFrame:
     zero = t.relation("embeddings").builder().select(lambda e: e.label == 0).project(lambda e: e.embedding)
     d = t.db.evaluate(t.relation("embeddings", "embedding").builder().difference(zero))
-    return d.select(F.size("value").alias("width"), F.aggregate(F.transform("value", lambda x: F.floor(1000 * x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return d.select(F.array_size("value").alias("width"), thousandths("value", d.schema["value"].dataType.elementType).alias("total"))
+
+
+def thousandths(vector: str, kind: DataType) -> Column:
+    """The sum of floor(1000 * x) over a vector, as SQL has it: products are of the components' own type and added up as doubles.
+
+    Nulls are left out; a vector without numbers has none.  F.floor would clip products beyond a long; a total beyond it, or NaN, raises.
+    """
+
+    def floor(x: Column) -> Column:
+        product = F.lit(1000).cast(kind) * x
+        nearest = F.rint(product)
+        return nearest - (nearest > product).cast("double")
+
+    known = F.filter(vector, lambda x: x.isNotNull())
+    return F.when(F.array_size(known) > 0, F.aggregate(F.transform(known, floor), F.lit(0.0), lambda a, x: a + x).cast("long"))
 
 
 @register("SELECT DISTINCT ts, user_id FROM events WHERE event_type = 'error'")
